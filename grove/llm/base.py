@@ -44,7 +44,7 @@ class Scratch:
     """Written intermediates of one call. ``keep`` writes and rereads; ``drop`` removes what nothing reads any more."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.root, self.at = spark, f"{shared_dir(spark)}/grove-{uuid.uuid4().hex}", {}
+        self.spark, self.root, self.kept, self.count = spark, f"{shared_dir(spark)}/grove-{uuid.uuid4().hex}", [], 0
         atexit.register(self._end)
 
     def _end(self) -> None:
@@ -54,14 +54,15 @@ class Scratch:
             pass
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}-{len(self.at)}"
+        path, self.count = f"{self.root}/{name}-{self.count}", self.count + 1
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.at[id(out)] = path
+        self.kept.append((out, path))
         return out
 
     def drop(self, *dfs: DataFrame) -> None:
-        remove(self.spark, *[self.at.pop(id(d)) for d in dfs if id(d) in self.at])
+        remove(self.spark, *[p for kept, p in self.kept if any(kept is d for d in dfs)])
+        self.kept = [(kept, p) for kept, p in self.kept if not any(kept is d for d in dfs)]
 
 
 def id_crc(col: str) -> Column:
