@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 #: Word separators of the contracts: space and the ASCII controls 0x09-0x0D, and nothing else.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that a vectorised step handles at once; its temporaries take about sixty times as much.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -167,3 +167,10 @@ def as_bytes(column) -> list[bytes | None]:
 
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
     return column.cast(kind).to_pylist()
+
+
+def slices(batches, rows: int = 500):
+    """The Arrow batches cut into ones of few rows, so that what a worker derives from them stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

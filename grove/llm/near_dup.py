@@ -1,11 +1,15 @@
 """Near-duplicate detection by HyperMinHash registers.
 
-A document is the set of its distinct word shingles, as 64-bit hashes. Each hash names one of 128 buckets by its high
-bits; the bucket's register keeps the smallest remainder as a leading-zero count and the mantissa bits behind it. Bands
-of four registers propose pairs, the registers' agreement, corrected for chance collisions, dismisses the hopeless ones,
-and whole shingle sets decide. A band with a third of all documents costs no more than its size: its members are
-compared with one of their number, and only members that stay apart from the band's largest component are compared
-further, so that no link between different texts that the bands propose is lost and no band is expanded into all pairs.
+A document is the set of its distinct word shingles, as 64-bit hashes. Each hash names one of 256 buckets by its high
+bits; the bucket's register keeps the smallest remainder as a leading-zero count and the ten mantissa bits behind it. A
+small set first takes every shingle several times under different hashes, which leaves similarities as they are and fills
+the registers. Bands of six registers propose pairs, the registers' agreement, corrected for chance collisions, dismisses
+the hopeless ones, and whole shingle sets decide.
+
+A band with a third of all documents is not expanded into pairs. Its members are compared with its centre, the member
+that shares most bands. Then, around every centre, only members that stay outside the largest component are compared
+further, with those that differing sizes and the distances to the centre (1 - similarity is a metric) leave possible. So
+no link between different texts that the bands propose is lost.
 """
 
 from __future__ import annotations
@@ -18,29 +22,42 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grove.llm.base import Scratch, as_bytes, shingle_set, table, word_hashes
+from grove.llm.base import Scratch, as_bytes, mix64, shingle_set, slices, table, word_hashes
 from grove.llm.graph import components
 
-BUCKET_BITS, MANTISSA_BITS = 7, 24
+BUCKET_BITS, MANTISSA_BITS = 8, 10
 BUCKETS = 1 << BUCKET_BITS
-#: Registers a band. 32 bands of 4 miss a pair of similarity 0.8 with a chance of 5e-8.
-BAND = 4
+#: Registers a band, and bands. A pair of similarity 0.8 shares no band with a chance of 3e-6.
+BAND, BANDS = 6, 42
+#: Sets of up to 2 ** level shingles take each TOP_LEVEL - level doublings often, so that a register sees four hashes or more.
+TOP_LEVEL = 11
 #: Standard errors that the estimate may fall short of the threshold by before a pair is dismissed.
-SLACK = 6.0
+SLACK = 4.5
+#: Members around a centre, and shingles of theirs, that one task compares with as many others; pairs whose registers it
+#: holds side by side.
+BLOCK_ROWS, BLOCK_SHINGLES, SIDE_BY_SIDE = 1024, 1_000_000, 16_384
 #: Bytes of shingle sets that a verifying worker remembers.
 REMEMBERED = 32 << 20
 
 
-def registers(shingles: np.ndarray) -> np.ndarray:
-    """The 128 registers of a sorted hash set: 0 where the bucket is empty, else 1 + (leading zeros, mantissa)."""
-    out = np.zeros(BUCKETS, np.uint32)
+def level(n: int) -> int:
+    return min(TOP_LEVEL, max(0, (n - 1).bit_length()))
+
+
+def registers(shingles: np.ndarray, at: int) -> np.ndarray:
+    """The registers of a sorted hash set on a level: 0 where the bucket is empty, else 1 + (leading zeros, mantissa)."""
+    out = np.zeros(BUCKETS, np.uint16)
     if len(shingles):
+        copies = 1 << (TOP_LEVEL - at)
+        if copies > 1:
+            seeds = np.arange(copies, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            shingles = np.sort(mix64(shingles[:, None] + seeds).ravel())
         bucket = shingles >> np.uint64(64 - BUCKET_BITS)
         first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
         rest = shingles[first] << np.uint64(BUCKET_BITS)
-        zeros = np.minimum(64 - np.frexp(rest.astype(np.float64))[1], 64 - BUCKET_BITS).astype(np.uint64)
+        zeros = np.minimum(64 - np.frexp(rest.astype(np.float64))[1], 62).astype(np.uint64)
         mantissa = (rest << zeros << np.uint64(1)) >> np.uint64(64 - MANTISSA_BITS)
-        out[bucket[first].astype(np.int64)] = ((zeros << np.uint64(MANTISSA_BITS)) | mantissa).astype(np.uint32) + 1
+        out[bucket[first].astype(np.int64)] = ((zeros << np.uint64(MANTISSA_BITS)) | mantissa).astype(np.uint16) + 1
     return out
 
 
@@ -52,8 +69,8 @@ def chance_collisions(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """
     cut = 2.0 ** -np.arange(0, 64 - BUCKET_BITS)
     tail = lambda x: np.exp(-np.asarray(x, float)[:, None] * cut / BUCKETS)
-    level = lambda x: np.diff(tail(x), axis=1)
-    return BUCKETS * (level(n) * level(m)).sum(1) / 2.0**MANTISSA_BITS
+    within = lambda x: np.diff(tail(x), axis=1)
+    return BUCKETS * (within(n) * within(m)).sum(1) / 2.0**MANTISSA_BITS
 
 
 def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -64,20 +81,24 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> tupl
     return np.clip((same - by_chance) / np.maximum(used - by_chance, 1), 0, 1), used
 
 
-def signatures(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, digest of the whole set (null: no words), registers."""
+def signatures(docs: DataFrame, k: int, threshold: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, n_shingles, digest of the whole set (null: no words), level, regs, and lower: the registers of the level
+    below where a set of that level can still be similar enough, else null."""
 
     def run(batches):
-        for batch in batches:
-            n, digest, regs = [], [], []
+        for batch in slices(batches):
+            n, digest, at, regs, lower = [], [], [], [], []
             for words in word_hashes([t or b"" for t in as_bytes(batch.column(1))]):
                 found = shingle_set(words, k)
                 n.append(len(found))
+                own = level(len(found))
+                at.append(own)
                 digest.append(_digest(found) if len(found) else None)
-                regs.append(registers(found).tobytes() if len(found) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(regs, pa.binary())], ["doc_id", "n_shingles", "digest", "regs"])
+                regs.append(registers(found, own).tobytes() if len(found) else None)
+                lower.append(registers(found, own - 1).tobytes() if own and threshold * len(found) <= 100 << (own - 1) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(at, pa.int32()), pa.array(regs, pa.binary()), pa.array(lower, pa.binary())], ["doc_id", "n_shingles", "digest", "level", "regs", "lower"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, regs binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, level int, regs binary, lower binary")
 
 
 def _digest(found: np.ndarray) -> bytes:
@@ -86,23 +107,87 @@ def _digest(found: np.ndarray) -> bytes:
     return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
 
 
-def _likely(pairs: DataFrame, reps: DataFrame, threshold: int) -> DataFrame:
-    """Of the pairs (a, b), those that the sizes and the corrected estimate leave possible."""
-    side = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
+def _estimated(pairs: DataFrame, reps: DataFrame, threshold: int) -> DataFrame:
+    """a, b, lo, hi: the corrected estimate of each pair's similarity, SLACK standard errors down and up.
+
+    Pairs of sizes that cannot reach the threshold keep hi below it.
+    """
+    side = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("level").alias(f"l{x}"), F.col("regs").alias(f"r{x}"), F.col("lower").alias(f"s{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    level_ = F.least("la", "lb")
+    on = lambda x: F.when(F.col(f"l{x}") == level_, F.col(f"r{x}")).otherwise(F.col(f"s{x}"))
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            col = {x: batch.column(x) for x in ("a", "b", "na", "nb", "ra", "rb")}
-            mat = lambda x: np.frombuffer(b"".join(col[x].to_pylist()), np.uint32).reshape(-1, BUCKETS)  # noqa: E731, B023
-            near, used = estimate(mat("ra"), mat("rb"), col["na"].to_numpy(), col["nb"].to_numpy())
-            t = threshold / 100
-            keep = pa.array(near >= t - SLACK * np.sqrt(t * (1 - t) / np.maximum(used, 1)))
-            yield pa.RecordBatch.from_arrays([col["a"].filter(keep), col["b"].filter(keep)], ["a", "b"])
-
-    return both.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
+            # Sets more than a level apart have no registers in common; their sizes alone dismiss them.
+            met = np.array([x.is_valid and y.is_valid for x, y in zip(batch.column(4), batch.column(5), strict=True)])
+            mat = lambda i: np.frombuffer(b"".join(x for x, ok in zip(batch.column(i).to_pylist(), met, strict=True) if ok), np.uint16).reshape(-1, BUCKETS)  # noqa: E731, B023
+            na, nb = batch.column(2).to_numpy().astype(float), batch.column(3).to_numpy().astype(float)
+            most = np.minimum(na, nb) / np.maximum(na, nb)
+            lo, hi = np.zeros(len(na)), most.copy()
+            if met.any():
+                copies = 2.0 ** (TOP_LEVEL - np.array([level(int(x)) for x in np.minimum(na, nb)[met]]))
+                near, used = estimate(mat(4), mat(5), na[met] * copies, nb[met] * copies)
+                t = threshold / 100
+                slack = SLACK * np.sqrt(np.maximum(t * (1 - t), near * (1 - near)) / np.maximum(used, 1))
+                lo[met], hi[met] = np.maximum(near - slack, 0), np.minimum(near + slack, most[met])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lo), pa.array(hi)], ["a", "b", "lo", "hi"])
+
+    return both.select("a", "b", "na", "nb", on("a").alias("ra"), on("b").alias("rb")).mapInArrow(run, "a long, b long, lo double, hi double")
+
+
+def _across(open_: DataFrame, reps: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataFrame:
+    """u, v: the links among members around one centre that are in different components, one outside the largest.
+
+    Every such pair meets in one task, in blocks of bounded size; what sizes, the distances to the centre and the
+    registers leave possible is settled on whole shingle sets there, so that only links leave the task.
+    """
+    of = lambda n: F.pmod(F.xxhash64("rep", F.lit(13)), n).cast("int")
+    spread = lambda n: F.sequence(F.lit(0), n - 1)
+    ys = F.transform(spread(F.col("bx")), lambda i: F.struct(i.alias("x"), of(F.col("by")).alias("y"), F.lit(False).alias("first")))
+    xs = F.transform(spread(F.col("by")), lambda i: F.struct(of(F.col("bx")).alias("x"), i.alias("y"), F.lit(True).alias("first")))
+    roles = F.when(F.col("apart"), F.concat(ys, xs)).otherwise(ys)
+    full = open_.join(reps.select("rep", "level", "regs", "lower"), "rep").join(texts, "rep").select("center", F.explode(roles).alias("role"), "rep", "n", "root", "lo", "hi", "level", "regs", "lower", "blob")
+    full = full.select("center", "role.x", "role.y", "role.first", "rep", "n", "root", "lo", "hi", "level", "regs", "lower", "blob")
+    t, reach = threshold / 100, 1 - threshold / 100 + 1e-6
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        col = {c: group.column(c).to_numpy() for c in ("rep", "n", "root", "lo", "hi", "level")}
+        own, lower, blobs, sets = group.column("regs").to_pylist(), group.column("lower").to_pylist(), group.column("blob"), {}
+        open_frame = zstandard.ZstdDecompressor()
+
+        def of_row(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = shingle_set(word_hashes([open_frame.decompress(blobs[i].as_py())])[0], k)
+            return sets[i]
+
+        none, links = bytes(2 * BUCKETS), []
+        # Two rows meet on the smaller level; a row of the level above without registers there is too large to be met.
+        mats = {lv: np.frombuffer(b"".join((o if v == lv else lo if v == lv + 1 else None) or none for o, lo, v in zip(own, lower, col["level"], strict=True)), np.uint16).reshape(-1, BUCKETS) for lv in set(col["level"].tolist())}
+        first = group.column("first").to_numpy(zero_copy_only=False)
+        x, y = np.flatnonzero(first), np.flatnonzero(~first)
+        step = max(1, SIDE_BY_SIDE // max(1, len(y)))
+        for at in range(0, len(x), step):
+            part = x[at : at + step, None]
+            ok = (col["root"][part] != col["root"][y]) & (100 * np.minimum(col["n"][part], col["n"][y]) >= threshold * np.maximum(col["n"][part], col["n"][y]))
+            ok &= (col["lo"][part] - col["hi"][y] <= reach) & (col["lo"][y] - col["hi"][part] <= reach)
+            i, j = np.nonzero(ok)
+            i, j = part[i, 0], y[j]
+            met = np.minimum(col["level"][i], col["level"][j])
+            for lv in set(met.tolist()):
+                p, q, copies = i[met == lv], j[met == lv], 2.0 ** (TOP_LEVEL - lv)
+                near, used = estimate(mats[lv][p], mats[lv][q], col["n"][p] * copies, col["n"][q] * copies)
+                keep = near + SLACK * np.sqrt(np.maximum(t * (1 - t), near * (1 - near)) / np.maximum(used, 1)) >= t
+                for r, s in zip(p[keep].tolist(), q[keep].tolist(), strict=True):
+                    common = len(np.intersect1d(of_row(r), of_row(s), assume_unique=True))
+                    if 100 * common >= threshold * (len(sets[r]) + len(sets[s]) - common):
+                        links.append((int(col["rep"][r]), int(col["rep"][s])))
+        return pa.table({"u": pa.array([u for u, _ in links], pa.int64()), "v": pa.array([v for _, v in links], pa.int64())})
+
+    return full.groupBy("center", "x", "y").applyInArrow(run, "u long, v long")
 
 
 def _packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -110,21 +195,21 @@ def _packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches):
         press = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([press.compress(t or b"") for t in as_bytes(batch.column(1))], pa.binary())], ["rep", "blob"])
 
     return docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).mapInArrow(run, "rep long, blob binary")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataFrame:
-    """Of the pairs (a, b), those whose whole shingle sets reach the threshold, as edges (u, v)."""
+def _verified(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """a, b, common, whole: the sizes of the intersection and the union of the pairs' whole shingle sets."""
     side = lambda x: texts.select(F.col("rep").alias(x), F.col("blob").alias(f"t{x}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    both = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a")
 
     def run(batches):
         open_, sets, held = zstandard.ZstdDecompressor(), OrderedDict(), 0
-        for batch in batches:
-            keep = []
+        for batch in slices(batches, 200):
+            common, whole = [], []
             for ids, blobs in zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), zip(batch.column(2), batch.column(3), strict=True), strict=True):
                 found = []
                 for doc, blob in zip(ids, blobs, strict=True):
@@ -135,12 +220,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: int) -> Dat
                     found.append(sets[doc])
                 while held > REMEMBERED and len(sets) > 2:
                     held -= sets.popitem(last=False)[1].nbytes
-                common = len(np.intersect1d(*found, assume_unique=True))
-                keep.append(100 * common >= threshold * (len(found[0]) + len(found[1]) - common))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["u", "v"])
+                common.append(len(np.intersect1d(*found, assume_unique=True)))
+                whole.append(len(found[0]) + len(found[1]) - common[-1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(whole, pa.int64())], ["a", "b", "common", "whole"])
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "u long, v long")
+    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, common long, whole long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -153,42 +237,51 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: st
     Null or wordless texts: n_shingles 0, linked with nothing, kept. Equal sets are one class before any pair is formed,
     so repeated texts cost nothing. Rows that repeat a doc_id count as one document with several texts: each row is
     returned, and all of them carry the same component_id. A null doc_id takes no part: component_id null, kept true.
-    Empty table: empty result. Columns of docs other than the two named are not read.
+    Empty table: empty result. Columns of docs other than the two named are not read. threshold: 50 to 100.
     """
     scratch = Scratch(docs.sparkSession)
-    sig = scratch.keep(signatures(docs, k, id_col, text_col), "sig")
-    live = sig.where("digest is not null and doc_id is not null")
-    classes = live.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs"))
-    reps = scratch.keep(classes, "reps")
-    width = BAND * 4
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS // BAND - 1)), lambda j: F.struct(j.alias("j"), F.substring(F.col("regs"), j * width + 1, F.lit(width)).alias("x")))
+    full = scratch.keep(signatures(docs, k, threshold, id_col, text_col), "sig")
+    sig = scratch.keep(full.select("doc_id", "n_shingles", "digest"), "docs")
+    live = full.where("digest is not null and doc_id is not null")
+    one = lambda c: F.first(c).alias(c)  # noqa: E731  equal for equal digests
+    reps = scratch.keep(live.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), one("level"), one("regs"), one("lower")), "reps")
+    scratch.drop(full)
+    cut = lambda c, at: F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: F.xxhash64(at, j, F.substring(c, j * (2 * BAND) + 1, F.lit(2 * BAND))))
+    own, below = cut(F.col("regs"), F.col("level")), cut(F.col("lower"), F.col("level") - 1)
+    keys = F.when(F.col("lower").isNull(), own).otherwise(F.concat(own, below))
     # n / (n + 1) under the threshold: sets so small are equal or not linked, and equal ones are one class already.
-    rows = reps.where(100 * F.col("n") >= threshold * (F.col("n") + 1)).select("rep", F.explode(F.filter(bands, lambda b: b["x"] != F.lit(bytes(width)))).alias("b")).select("rep", F.xxhash64("b.j", "b.x").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("rep").alias("center"), F.max("rep").alias("last")).where("center <> last").drop("last")
+    rows = reps.where(100 * F.col("n") >= threshold * (F.col("n") + 1)).select("rep", F.explode(keys).alias("key"))
+    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = scratch.keep(rows.join(shared, "key"), "members")
-    stars = scratch.keep(_likely(members.where("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct(), reps, threshold), "stars")
-    ids = lambda p: p.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    packed = _packed(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
-    one_text = lambda p: packed.join(ids(p), "rep", "left_semi")
-    edges = scratch.keep(_verified(stars, scratch.keep(one_text(stars), "texts"), k, threshold), "edges")
-    roots = scratch.keep(components(edges, scratch), "roots")
-    # What the stars leave open: members of one band in different components. The largest component of a band is never paired with itself.
-    placed = members.join(roots, members.rep == roots.node, "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
-    sizes = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    mixed = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
-    open_ = scratch.keep(placed.join(mixed, "key"), "open")
-    x, y = open_.where("root <> main").alias("x"), open_.alias("y")
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root"))).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-    rest = scratch.keep(_likely(pairs, reps, threshold).join(stars, ["a", "b"], "left_anti"), "rest")
-    scratch.drop(open_, members)
-    more = scratch.keep(_verified(rest, scratch.keep(one_text(rest), "texts"), k, threshold), "edges")
+    weights = members.groupBy("rep").agg(F.sum("size").alias("weight"))
+    centers = members.join(weights, "rep").groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("rep"))).alias("c")).select("key", (-F.col("c.rep")).alias("center"))
+    placed = scratch.keep(members.drop("size").join(centers, "key"), "placed")
+    scratch.drop(members)
+    pairs = placed.where("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
+    rough = scratch.keep(_estimated(pairs, reps, threshold), "rough")
+    scratch.drop(placed)
+    ids = rough.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    texts = scratch.keep(_packed(docs.where(F.col(id_col).isNotNull()), id_col, text_col).join(ids, "rep", "left_semi").dropDuplicates(["rep"]), "texts")
+    exact = _verified(rough.where(100 * F.col("hi") >= threshold - 1e-6), texts, k)
+    sure, linked = F.col("common") / F.col("whole"), 100 * F.col("common") >= threshold * F.col("whole")
+    stars = scratch.keep(rough.join(exact, ["a", "b"], "left").select(F.col("a").alias("center"), F.col("b").alias("rep"), F.coalesce(sure, "lo").alias("lo"), F.coalesce(sure, "hi").alias("hi"), F.coalesce(linked, F.lit(False)).alias("linked")), "stars")
+    roots = scratch.keep(components(stars.where("linked").select(F.col("center").alias("u"), F.col("rep").alias("v")), scratch), "roots")
+    # What the stars leave open: members around one centre in different components. The largest component is never paired with itself.
+    around = stars.select("center", "rep", "lo", "hi").unionByName(stars.select("center", F.col("center").alias("rep"), F.lit(1.0).alias("lo"), F.lit(1.0).alias("hi")).distinct())
+    told = scratch.keep(around.join(roots, around.rep == roots.node, "left").drop("node").join(reps.select("rep", "n"), "rep").select("center", "rep", "n", "lo", "hi", F.coalesce("root", "rep").alias("root")), "told")
+    sizes = told.groupBy("center", "root").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("shingles"))
+    blocks = lambda count, shingles: F.greatest(F.ceil(count / BLOCK_ROWS), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+    mixed = sizes.groupBy("center").agg(F.max(F.struct("count", "root", "shingles")).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("count").alias("all"), F.sum("shingles").alias("total")).where("parts > 1")
+    mixed = mixed.select("center", F.col("main.root").alias("main"), blocks(F.col("all"), F.col("total")).alias("by"), blocks(F.col("all") - F.col("main.count"), F.col("total") - F.col("main.shingles")).alias("bx"))
+    open_ = told.join(mixed, "center").select("center", "rep", "n", "root", (F.col("root") != F.col("main")).alias("apart"), "bx", "by", "lo", "hi")
+    more = _across(open_, reps, texts, k, threshold).distinct()
     # The second pass joins whole components, so its graph is over roots.
     up = more.join(roots.select(F.col("node").alias("u"), F.col("root").alias("ru")), "u", "left").join(roots.select(F.col("node").alias("v"), F.col("root").alias("rv")), "v", "left").select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v"))
     tops = components(up, scratch).select(F.col("node").alias("root"), F.col("root").alias("top"))
     known = roots.unionByName(tops.select(F.col("root").alias("node"), "root")).distinct()
     final = known.join(tops, "root", "left").groupBy("node").agg(F.min(F.coalesce("top", "root")).alias("component"))
     to = reps.select("digest", "rep").join(final, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    out = sig.select("doc_id", "n_shingles", "digest").join(to, "digest", "left")
+    out = sig.join(to, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
