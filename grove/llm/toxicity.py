@@ -36,7 +36,7 @@ COMMON = 0.01
 REACH = 4
 #: Log odds of a document without matches, and the weights of a pattern before any evidence: (negated, reported, aimed at a target).
 BIAS = -4.0
-PRIOR = {(n, r, t): 6.0 + (1.0 if t else 0.0) - (3.0 if n else 0.0) - (2.0 if r else 0.0) for n in (0, 1) for r in (0, 1) for t in (0, 1)}
+PRIOR = {(n, r, t): 6.0 + (1.0 if t else 0.0) - (4.0 if n else 0.0) - (2.0 if r else 0.0) for n in (0, 1) for r in (0, 1) for t in (0, 1)}
 #: A threat counts only when it is aimed at someone.
 THREAT_WEIGHT = {k: (PRIOR[k] - 2.0 if k[2] else 0.0) for k in PRIOR}
 #: Rows that a learned pattern weight is worth against its prior.
@@ -70,7 +70,7 @@ class Grammar:
 
     def clause(self, words: list[str]) -> list[tuple[int, tuple[int, int, int]]]:
         """The patterns that the automaton emits over one clause: (insult or threat, (negated, reported, aimed))."""
-        negated = reported = aimed = -REACH - 1
+        negated = reported = aimed = -1_000_000
         kinds, out = [self.kind(w) for w in words], []
         for i, k in enumerate(kinds):
             if k == NEGATION:
