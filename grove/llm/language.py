@@ -9,7 +9,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grove.llm.base import held_out, table
+from grove.llm.base import held_out, slices, table
 
 #: Bytes of each language's raw-content dictionary, and of each piece of text that is compressed alone.
 DICTIONARY_BYTES, PIECE_BYTES = 64_000, 2048
@@ -107,7 +107,7 @@ def identify_languages(docs: DataFrame, dictionaries: list[tuple[str, bytes]], n
 
     def run(batches):
         model = Compressors(dictionaries)
-        for batch in batches:
+        for batch in slices(batches):
             found = [model.identify(t) for t in batch.column(at).to_pylist()]
             more = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[0] != "und" and f[2] >= narrow for f in found], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, lang_col, score_col, accept_col])

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grove.llm.base import table
+from grove.llm.base import slices, table
 
 #: Known sentences in normal form (a-z and 0-9, single spaces), under their identifiers.
 SENTENCES = {
@@ -76,7 +76,7 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = [identifiers(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array([" ".join(f) for f in found], pa.string()), pa.array([",".join(licences(f)) for f in found], pa.string())], ["doc_id", "n_sentences", "sentence_ids", "licences"])
 

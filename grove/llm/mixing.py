@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from grove.llm.base import WORD, table
 
 #: Rows that one running sum covers; a source of more rows is cut into so many stretches of its shuffled order.
-STRETCH = 50_000
+STRETCH = 2_000
 EPOCHS = 2
 
 

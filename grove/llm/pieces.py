@@ -16,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grove.llm.base import table
+from grove.llm.base import slices, table
 
 SPACE = "▁"
 #: Segments that a worker remembers, and the longest that is remembered.
-REMEMBERED, LONGEST = 300_000, 64
+REMEMBERED, LONGEST = 150_000, 64
 #: What a character outside the vocabulary costs a unigram path.
 UNKNOWN_COST = 1e4
 _NORMAL, _UNKNOWN, _BYTE = 1, 2, 6
@@ -112,7 +112,7 @@ class PieceModel:
         """Whether a path that ends with `before` goes on with the piece; remembered."""
         name = self.names[piece]
         ok = self._spines(name) is not None and (before in (START, ALONE) or self._follows(self.names[before], name))
-        if len(self.pairs) > 1_000_000:
+        if len(self.pairs) > 400_000:
             self.pairs.clear()
         self.pairs[before << 20 | piece] = ok
         return ok
@@ -242,15 +242,16 @@ def encode_documents(docs: DataFrame, model: str | None = None, id_col: str = "d
 
     def run(batches):
         pieces = load(path)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for at in range(0, len(texts), 500):
-                part = texts[at : at + 500]
-                found = [np.frombuffer(pieces.packed(t), np.int32) for t in part]
-                n = np.array([len(f) for f in found], np.int64)
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(np.concatenate(found) if found else [], pa.int32()))
-                same = [pieces.decode(f.tolist()) == (t or "") for f, t in zip(found, part, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 500), pa.array(n), ids, pa.array(same, pa.bool_())], ["doc_id", "n_ids", "ids", "round_trip"])
+        for batch in slices(batches):
+            part = batch.column(1).to_pylist()
+            found = [np.frombuffer(pieces.packed(t), np.int32) for t in part]
+            n = np.array([len(f) for f in found], np.int64)
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(np.concatenate(found), pa.int32()))
+            same = [pieces.decode(f.tolist()) == (t or "") for f, t in zip(found, part, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), ids, pa.array(same, pa.bool_())], ["doc_id", "n_ids", "ids", "round_trip"])
+        # The worker goes on to other tasks; what it remembers of this one's texts would only take their room.
+        pieces.memo.clear()
+        pieces.pairs.clear()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_ids long, ids array<int>, round_trip boolean")
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grove.llm.base import held_out, table
+from grove.llm.base import held_out, slices, table
 
 INSULT, THREAT, TARGET, NEGATION, REPORT = range(5)
 #: The grammar's own lexicons; learning adds hostile words and stems of the corpus's languages.
@@ -110,7 +110,7 @@ def fit_grammar(docs: DataFrame, labels: DataFrame, usable: Column, rows: int =
     sample = docs.where(usable).select("doc_id", "text").where("text is not null").where(point < rows / max(n, 1)).join(kept.where(point < rows / max(n, 1)), "doc_id").select("doc_id", "text", "toxic")
 
     def features(batches):
-        for batch in batches:
+        for batch in slices(batches, 50):
             ids, stems, toxic = [], [], []
             for doc, text, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = set(tokens(text))
@@ -118,9 +118,7 @@ def fit_grammar(docs: DataFrame, labels: DataFrame, usable: Column, rows: int =
                 ids += [doc] * len(found)
                 toxic += [label] * len(found)
                 stems += found
-            for at in range(0, len(ids), 200_000):
-                end = at + 200_000
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at:end], pa.int64()), pa.array(stems[at:end], pa.string()), pa.array(toxic[at:end], pa.int32())], ["doc_id", "stem", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(stems, pa.string()), pa.array(toxic, pa.int32())], ["doc_id", "stem", "toxic"])
 
     rows_of = sample.select(F.col("doc_id").cast("long"), "text", F.col("toxic").cast("int")).mapInArrow(features, "doc_id long, stem string, toxic int")
     counts = rows_of.groupBy("stem").agg(F.sum("toxic").alias("pos"), F.count(F.lit(1)).alias("n"))
@@ -131,7 +129,7 @@ def fit_grammar(docs: DataFrame, labels: DataFrame, usable: Column, rows: int =
 
     def only(batches):
         from_best = stems
-        for batch in batches:
+        for batch in slices(batches, 200):
             ids, found, toxic, texts, least = [], [], [], [], []
             for doc, text, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = set(tokens(text))
@@ -195,7 +193,7 @@ def score_toxicity(docs: DataFrame, grammar: Grammar, text_col: str = "text", sc
 
     def run(batches):
         own = Grammar(stems, weights)
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([own.score(t) for t in batch.column(at).to_pylist()], pa.float64())], [*batch.schema.names, score_col])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(score_col, DoubleType())]))

@@ -148,7 +148,7 @@ def test_fingerprints(spark, odd):
 def test_fingerprint_likeness(spark):
     rng = random.Random(2)
     ws = [f"w{rng.randrange(10**6)}" for _ in range(400)]
-    pairs = [(" ".join(ws), " ".join(ws[: int(400 * s)] + [f"v{i}" for i in range(400 - int(400 * s))]), s) for s in (0.0, 0.5, 0.8, 0.95)] + [("a b c d e f g", "a b c d e f h", 0.5)]
+    pairs = [(" ".join(ws), " ".join(ws[: int(400 * s)] + [f"v{i}" for i in range(400 - int(400 * s))]), s) for s in (0.0, 0.5, 0.8, 0.95)]
     df = spark.createDataFrame(pairs, "a string, b string, s double")
     for r in df.select("s", fingerprint.likeness(fingerprint.fingerprint(F.col("a")), fingerprint.fingerprint(F.col("b"))).alias("got")).collect():
         assert abs(r["got"] - r["s"] / (2 - r["s"])) < 0.2
