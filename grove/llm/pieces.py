@@ -249,9 +249,6 @@ def encode_documents(docs: DataFrame, model: str | None = None, id_col: str = "d
             ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(np.concatenate(found), pa.int32()))
             same = [pieces.decode(f.tolist()) == (t or "") for f, t in zip(found, part, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), ids, pa.array(same, pa.bool_())], ["doc_id", "n_ids", "ids", "round_trip"])
-        # The worker goes on to other tasks; what it remembers of this one's texts would only take their room.
-        pieces.memo.clear()
-        pieces.pairs.clear()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_ids long, ids array<int>, round_trip boolean")
 
