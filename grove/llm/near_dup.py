@@ -19,7 +19,7 @@ from collections import OrderedDict
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grove.llm.base import Scratch, as_bytes, mix64, shingle_set, slices, table, word_hashes
@@ -38,6 +38,9 @@ SLACK = 4.5
 BLOCK_ROWS, BLOCK_SHINGLES, SIDE_BY_SIDE = 1024, 1_000_000, 16_384
 #: Bytes of shingle sets that a verifying worker remembers.
 REMEMBERED = 32 << 20
+#: Bits of the filter that keeps texts of no pair from travelling, and bits of one of its chunks, as powers of two. A fuller
+#: filter lets more texts pass; the join behind it decides.
+FILTER_BITS, CHUNK_BITS = 25, 19
 
 
 def level(n: int) -> int:
@@ -190,15 +193,39 @@ def _across(open_: DataFrame, reps: DataFrame, texts: DataFrame, k: int, thresho
     return full.groupBy("center", "x", "y").applyInArrow(run, "u long, v long")
 
 
-def _packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Texts as they travel to be compared: zstandard frames, about 0.4 of their size."""
+def _marked(id_: Column) -> Column:
+    """The bit of the filter that an id sets."""
+    return F.pmod(F.xxhash64(id_, F.lit(17)), F.lit(1 << FILTER_BITS))
+
+
+def _filter(ids: DataFrame) -> np.ndarray:
+    """The filter over ids (rep), as 2 ** FILTER_BITS / 8 bytes whatever the number of ids is. Only chunks reach the driver."""
+
+    def run(group: pa.Table) -> pa.Table:
+        bits, own = np.zeros(1 << CHUNK_BITS, np.uint8), group.column("bit").to_numpy()
+        bits[own & ((1 << CHUNK_BITS) - 1)] = 1
+        return pa.table({"chunk": pa.array([int(own[0]) >> CHUNK_BITS], pa.int32()), "bits": pa.array([zstandard.compress(np.packbits(bits, bitorder="little").tobytes())], pa.binary())})
+
+    out = np.zeros((1 << (FILTER_BITS - CHUNK_BITS), 1 << (CHUNK_BITS - 3)), np.uint8)
+    chunks = ids.select(_marked(F.col("rep")).alias("bit")).distinct().withColumn("chunk", F.shiftright("bit", CHUNK_BITS)).groupBy("chunk").applyInArrow(run, "chunk int, bits binary")
+    for chunk, bits in chunks.collect():
+        out[chunk] = np.frombuffer(zstandard.decompress(bytes(bits)), np.uint8)
+    return out.ravel()
+
+
+def _packed(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Texts of the ids (rep) as they travel to be compared: zstandard frames, about 0.4 of their size. One text an id."""
+    wanted = _filter(ids)
 
     def run(batches):
         press = zstandard.ZstdCompressor(level=3)
         for batch in slices(batches):
+            bit = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array(((wanted[bit >> 3] >> (bit & 7)) & 1).astype(bool)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([press.compress(t or b"") for t in as_bytes(batch.column(1))], pa.binary())], ["rep", "blob"])
 
-    return docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).mapInArrow(run, "rep long, blob binary")
+    named = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).where("rep is not null")
+    return named.withColumn("bit", _marked(F.col("rep"))).mapInArrow(run, "rep long, blob binary").join(ids, "rep", "left_semi").dropDuplicates(["rep"])
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
@@ -261,7 +288,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: st
     rough = scratch.keep(_estimated(pairs, reps, threshold), "rough")
     scratch.drop(placed)
     ids = rough.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    texts = scratch.keep(_packed(docs.where(F.col(id_col).isNotNull()), id_col, text_col).join(ids, "rep", "left_semi").dropDuplicates(["rep"]), "texts")
+    texts = scratch.keep(_packed(docs, ids, id_col, text_col), "texts")
     exact = _verified(rough.where(100 * F.col("hi") >= threshold - 1e-6), texts, k)
     sure, linked = F.col("common") / F.col("whole"), 100 * F.col("common") >= threshold * F.col("whole")
     stars = scratch.keep(rough.join(exact, ["a", "b"], "left").select(F.col("a").alias("center"), F.col("b").alias("rep"), F.coalesce(sure, "lo").alias("lo"), F.coalesce(sure, "hi").alias("hi"), F.coalesce(linked, F.lit(False)).alias("linked")), "stars")
