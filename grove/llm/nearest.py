@@ -1,29 +1,27 @@
 """Approximate maximum inner product search: score-aware (anisotropic) product quantisation, four-bit scans, exact reranking.
 
-A coarse index deals the vectors into cells; every vector's residual is coded with 16 centres a subspace, so that half a
-byte a subspace names it. Codes and centres minimise the residual error with its part along the vector weighted up, for
-that part shifts the scores which queries near the vector see. A query sums 16-entry tables over the codes of the blocks
-it visits, and the best of each block are scored exactly, in double precision, on the original vectors.
+A vector's offset from the sample's mean is coded with 16 centres a subspace, so that half a byte a subspace names it. Codes
+and centres minimise the residual error with its part along the vector weighted up, for that part shifts the scores which
+queries near the vector see. A query sums table entries over the codes, two subspaces to a byte, and the best of each block
+of vectors are scored exactly, in double precision, on the original vectors.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from grove.llm.base import table
+from grove.llm.base import Scratch, table
 
 #: Dimensions of a subspace, centres of each, and the score threshold T (as a share of the norm) that sets the parallel weight.
 SUBSPACE, CENTRES, THRESHOLD = 2, 16, 0.2
-#: Rows that the fit samples, at most about so many; most cells; share of the cells that a query visits, and the least count.
-#: The share suits vectors without clusters, of which the 20 nearest are spread over most cells; clustered ones need far less.
-FIT_ROWS, MOST_CELLS, VISITS, LEAST_VISITS = 20_000, 4096, 0.75, 16
-#: Vectors of a block, queries that scan it together, and the scan's survivors that are scored exactly, per neighbour asked for.
-BLOCK_ROWS, BATCH_QUERIES, RERANK = 4096, 1024, 2
+#: Rows that the fit samples, at most about so many.
+FIT_ROWS = 20_000
+#: Vectors of a block at most, blocks at least, queries that scan a block in one task, queries whose tables are held at once,
+#: and the scan's survivors that are scored exactly, per neighbour asked for. Every block is scanned for every query.
+BLOCK_ROWS, LEAST_BLOCKS, BATCH_QUERIES, SIDE_BY_SIDE, RERANK = 32_768, 48, 8192, 64, 2
 
 
 def usable(v: Column) -> Column:
@@ -33,16 +31,16 @@ def usable(v: Column) -> Column:
 
 
 class Index:
-    """Cells and code books fitted on a sample; all arrays are bounded by MOST_CELLS * dimensions."""
+    """The mean and the code books fitted on a sample."""
 
-    def __init__(self, sample: np.ndarray, cells: int, seed: int = 2):
+    def __init__(self, sample: np.ndarray, seed: int = 2):
         rng = np.random.default_rng(seed)
         x = sample.astype(np.float32)
         self.dim = x.shape[1]
-        self.pad = -self.dim % SUBSPACE
-        self.cells = self._k_means(x, max(1, min(cells, len(x))), rng)
+        self.pad = -self.dim % (2 * SUBSPACE)
+        self.mean = x.mean(0)
         self.eta = max(1.0, (self.dim - 1) * THRESHOLD**2 / (1 - THRESHOLD**2))
-        y, u = self._parts(x, self.cell_of(x))
+        y, u = self._parts(x)
         self.books = np.stack([self._k_means(y[:, s], min(CENTRES, len(y)), rng) for s in range(y.shape[1])])
         if self.books.shape[1] < CENTRES:
             self.books = np.concatenate([self.books, np.repeat(self.books[:, :1], CENTRES - self.books.shape[1], 1)], 1)
@@ -62,13 +60,10 @@ class Index:
             centres[n > 0] = total[n > 0] / n[n > 0, None]
         return centres
 
-    def cell_of(self, x: np.ndarray) -> np.ndarray:
-        return np.argmin((self.cells**2).sum(1) - 2 * (x.astype(np.float32) @ self.cells.T), 1)
-
-    def _parts(self, x: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _parts(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Residuals and unit directions, by subspace."""
         unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-        return tuple(np.pad(a, ((0, 0), (0, self.pad))).reshape(len(x), -1, SUBSPACE) for a in (x - self.cells[cell], unit))
+        return tuple(np.pad(a, ((0, 0), (0, self.pad))).reshape(len(x), -1, SUBSPACE) for a in (x - self.mean, unit))
 
     def _codes(self, y: np.ndarray, u: np.ndarray) -> np.ndarray:
         """Codes by coordinate descent on |r|^2 + (eta - 1) (r . u)^2, r the residual that coding leaves."""
@@ -96,105 +91,102 @@ class Index:
             if own.sum() >= SUBSPACE:
                 self.books[s, k] = np.linalg.solve(w[own].sum(0) + 1e-6 * np.eye(SUBSPACE), b[own].sum(0))
 
-    def encode(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    def encode(self, x: np.ndarray) -> np.ndarray:
         """Codes, two to a byte."""
-        codes = np.concatenate([self._codes(*self._parts(part.astype(np.float32), c)) for part, c in zip(np.array_split(x, max(1, len(x) // 4096)), np.array_split(cell, max(1, len(x) // 4096)), strict=True)])
-        if codes.shape[1] % 2:
-            codes = np.pad(codes, ((0, 0), (0, 1)))
+        codes = np.concatenate([self._codes(*self._parts(part.astype(np.float32))) for part in np.array_split(x, max(1, len(x) // 4096))])
         return codes[:, ::2] | (codes[:, 1::2] << 4)
 
-    def scan(self, q: np.ndarray, cell: int, packed: np.ndarray) -> np.ndarray:
-        """Approximate inner products of queries and one cell's codes: table sums in eight-bit steps."""
+    def scan(self, q: np.ndarray, packed: np.ndarray) -> np.ndarray:
+        """Sums of table entries in eight-bit steps, codes by queries: they order a query's vectors by approximate product."""
         m = self.books.shape[0]
-        codes = np.empty((len(packed), 2 * packed.shape[1]), np.uint8)
-        codes[:, ::2], codes[:, 1::2] = packed & 15, packed >> 4
-        tables = np.einsum("qsd,skd->qsk", np.pad(q, ((0, 0), (0, self.pad))).reshape(len(q), m, SUBSPACE), self.books)
-        low = tables.min(2)
-        step = np.maximum((tables.max(2) - low).max(1), 1e-12) / 255
-        small = np.round((tables - low[:, :, None]) / step[:, None, None]).astype(np.uint8)
-        total = np.zeros((len(q), len(packed)), np.uint16)
-        for s in range(m):
-            total += small[:, s, :][:, codes[:, s]]
-        return total * step[:, None] + (low.sum(1) + q @ self.cells[cell])[:, None]
-
-
-def fit_index(vectors: DataFrame, rows: int = FIT_ROWS) -> Index | None:
-    """vectors: vec_id, v. The sample: about `rows` rows by their ids' hash. Cells grow with the root of the row count."""
-    n = vectors.count()
+        wide = np.uint16 if 255 * m < 1 << 16 else np.uint32
+        tables = np.einsum("qsd,skd->skq", np.pad(q, ((0, 0), (0, self.pad))).reshape(len(q), m, SUBSPACE), self.books)
+        low = tables.min(1, keepdims=True)
+        step = np.maximum((tables - low).max((0, 1)), 1e-12) / 255
+        small = np.round((tables - low) / step).astype(wide)
+        total, entry = np.zeros((len(packed), len(q)), wide), np.empty((len(packed), len(q)), wide)
+        for j in range(m // 2):
+            both = (small[2 * j + 1][:, None] + small[2 * j][None]).reshape(CENTRES * CENTRES, len(q))
+            np.take(both, packed[:, j], axis=0, out=entry, mode="clip")
+            total += entry
+        return total
+
+
+def matrix(column) -> np.ndarray:
+    """An Arrow column of lists of one length, as doubles."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
+
+
+def fit_index(vectors: DataFrame, n: int, rows: int = FIT_ROWS) -> Index | None:
+    """vectors: n rows of vec_id, v. The sample: about `rows` rows by their ids' hash."""
     point = F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    picked = vectors.where(point < rows / max(n, 1)).orderBy("vec_id").collect() or vectors.limit(1).collect()
-    return Index(np.array([r["v"] for r in picked], np.float64), min(MOST_CELLS, max(1, int(math.sqrt(n) / 2)))) if picked else None
+    picked = vectors.where(point < rows / max(n, 1)).orderBy("vec_id", "v").limit(2 * rows).toArrow() if n else None
+    if picked is not None and not picked.num_rows:
+        picked = vectors.orderBy("vec_id", "v").limit(1).toArrow()
+    return Index(matrix(picked.column("v"))) if picked is not None else None
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, visits: float = VISITS) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k rows of largest inner product found, ties to the smaller vec_id.
 
     vectors: vec_id, embedding; queries: the same, rows to search for; a query's own vec_id is no candidate for it.
     Vectors that are null, zero or hold null or non-finite components take no part, nor do those of another length than
     most. Every other vector is indexed. Of equal vectors only the k + 1 smallest ids can be among a query's k nearest,
-    so only these are scanned. Cells of more than BLOCK_ROWS vectors are cut into blocks and those that many queries
-    visit into batches, so no cell is one task's work. Null ids take no part. Empty tables: empty result.
+    so only these are scanned. Vectors are dealt into blocks and queries into batches, and a task scans one block for one
+    batch, so that only the best of a block travel on. Rows that repeat a vec_id are candidates of their own; queries that
+    repeat one share a ranking. Null ids take no part. Empty tables: empty result.
     """
-    schema = "query_id long, vec_id long, score double"
-    clean = lambda df: df.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    clean = lambda df: df.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("v"))
     base = clean(vectors)
     size = base.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     spark = vectors.sparkSession
     if size is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    base = base.where(F.size("v") == size["d"])
     first = Window.partitionBy("v").orderBy("vec_id")
-    base = base.withColumn("copy", F.row_number().over(first)).where(F.col("copy") <= k + 1).drop("copy")
-    index = fit_index(base)
-    probes = min(len(index.cells), max(LEAST_VISITS, math.ceil(visits * len(index.cells))))
-
-    def assign(batches):
-        for batch in batches:
-            if len(batch):
-                x = np.array(batch["v"].tolist())
-                cell = index.cell_of(x)
-                codes = index.encode(x, cell)
-                yield pd.DataFrame({"vec_id": batch["vec_id"], "v": batch["v"], "cell": cell.astype(np.int32), "code": [c.tobytes() for c in codes]})
-
-    def visit(batches):
-        for batch in batches:
-            if len(batch):
-                close = np.argpartition(-(np.array(batch["v"].tolist()) @ index.cells.T), probes - 1, 1)[:, :probes]
-                yield pd.DataFrame({"query_id": np.repeat(batch["vec_id"].to_numpy(), probes), "cell": close.ravel().astype(np.int32)})
-
+    scratch = Scratch(spark)
+    base = scratch.keep(base.where(F.size("v") == size["d"]).withColumn("copy", F.row_number().over(first)).where(F.col("copy") <= k + 1).drop("copy"), "vectors")
     asked = clean(queries).where(F.size("v") == size["d"])
-    coded = base.mapInPandas(assign, "vec_id long, v array<double>, cell int, code binary")
-    trips = asked.mapInPandas(visit, "query_id long, cell int")
-    # At most MOST_CELLS rows.
-    sizes = coded.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
-    crowds = trips.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BATCH_QUERIES).cast("int").alias("batches"))
-    plan = F.broadcast(sizes.join(crowds, "cell").cache())
-    of = lambda c, n: F.pmod(F.xxhash64(c, F.lit(11)), n).cast("int")
-    data = coded.join(plan, "cell").withColumn("block", of("vec_id", F.col("blocks"))).withColumn("batch", F.explode(F.sequence(F.lit(0), F.col("batches") - 1))).select("cell", "block", "batch", "vec_id", "v", "code")
-    ask = trips.join(plan, "cell").withColumn("batch", of("query_id", F.col("batches"))).join(asked.withColumnRenamed("vec_id", "query_id").withColumnRenamed("v", "q"), "query_id").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cell", "block", "batch", "query_id", "q")
-
-    def search(key, data, asks):
-        if not len(data) or not len(asks):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        data = data.sort_values("vec_id")
-        x, ids = np.array(data["v"].tolist()), data["vec_id"].to_numpy()
-        codes = np.frombuffer(b"".join(data["code"]), np.uint8).reshape(len(data), -1)
+    n, many = base.count(), asked.count()
+    index = fit_index(base, n)
+    blocks, batches = max(LEAST_BLOCKS, -(-n // BLOCK_ROWS)), max(1, -(-many // BATCH_QUERIES))
+
+    def code(parts):
+        for part in parts:
+            if part.num_rows:
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([c.tobytes() for c in index.encode(matrix(part.column(1)))], pa.binary())], ["vec_id", "v", "code"])
+
+    of = lambda c, count: F.pmod(F.xxhash64(c, "v", F.lit(11)), F.lit(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    coded = base.mapInArrow(code, f"vec_id long, v {kind}, code binary")
+    data = coded.withColumn("block", of("vec_id", blocks)).withColumn("batch", every(batches))
+    asks = asked.withColumn("batch", of("vec_id", batches)).withColumn("block", every(blocks))
+
+    def search(asks: pa.Table, data: pa.Table) -> pa.Table:
         out = []
-        for at in range(0, len(asks), 256):
-            part = asks.iloc[at : at + 256]
-            q, own = np.array(part["q"].tolist()), part["query_id"].to_numpy()
-            rough = index.scan(q, int(key[0]), codes)
-            rough[own[:, None] == ids[None]] = -np.inf
-            top = np.argsort(-rough, axis=1, kind="stable")[:, : RERANK * k]
-            exact = np.einsum("qrd,qd->qr", x[top], q)
-            exact[own[:, None] == ids[top]] = -np.inf
-            best = np.lexsort((ids[top], -exact), axis=1)[:, :k]
-            rows = np.arange(len(q))[:, None]
-            out.append(pd.DataFrame({"query_id": np.repeat(own, best.shape[1]), "vec_id": ids[top][rows, best].ravel(), "score": exact[rows, best].ravel()}))
-        found = pd.concat(out)
-        return found[np.isfinite(found["score"])]
-
-    found = ask.groupBy("cell", "block", "batch").cogroup(data.groupBy("cell", "block", "batch")).applyInPandas(lambda key, a, d: search(key, d, a), schema)
+        if asks.num_rows and data.num_rows:
+            data = data.sort_by("vec_id")
+            x, ids, at = matrix(data.column("v")), data.column("vec_id").to_numpy(), np.arange(data.num_rows, dtype=np.uint64)
+            codes = np.frombuffer(b"".join(data.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
+            queries_, own_ids, r = matrix(asks.column("v")), asks.column("vec_id").to_numpy(), min(RERANK * k, len(ids))
+            for begin in range(0, len(own_ids), SIDE_BY_SIDE):
+                q, own = queries_[begin : begin + SIDE_BY_SIDE], own_ids[begin : begin + SIDE_BY_SIDE, None]
+                # Equal sums go to the smaller id; a query's own row comes last.
+                order = (index.scan(q, codes).T.astype(np.uint64) << np.uint64(32)) | at[::-1]
+                order[own == ids] = 0
+                top = np.argpartition(order, len(ids) - r, axis=1)[:, len(ids) - r :]
+                exact = np.einsum("qrd,qd->qr", x[top], q)
+                exact[own == ids[top]] = -np.inf
+                best = np.lexsort((ids[top], -exact), axis=1)[:, :k]
+                rows = np.arange(len(q))[:, None]
+                near = ids[top][rows, best]
+                keep = (near != own).ravel()
+                out.append((np.repeat(own[:, 0], best.shape[1])[keep], near.ravel()[keep], exact[rows, best].ravel()[keep]))
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[], [], []]
+        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
+
+    found = asks.groupBy("block", "batch").cogroup(data.groupBy("block", "batch")).applyInArrow(search, "query_id long, vec_id long, score double")
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
