@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The words that matching ignores.
@@ -89,3 +89,27 @@ def legal_form(name: Column) -> Column:
     """Sorted different canonical legal tokens of the raw name."""
     canon = F.create_map(*[F.lit(v) for w in LEGAL_FORMS for v in (w, LEGAL_CANON.get(w, w))])
     return F.array_join(F.array_sort(F.array_distinct(F.filter(F.transform(F.split(clean(name), " "), lambda w: canon[w]), lambda w: w.isNotNull()))), " ")
+
+
+#: Small words and signs that tell raw names apart. Fixed values.
+SMALL = ["&", "and", "the", "of", "+", "-", "'s"]
+
+
+def raw_name(name: Column) -> Column:
+    """Lower case without marks, white space collapsed; legal forms, stop words and signs stay."""
+    return F.trim(F.regexp_replace(F.lower(to_ascii(F.coalesce(name, F.lit("")))), r"\s+", " "))
+
+
+def small_words(raw: Column) -> Column:
+    """The different small words of a raw name; & and + count wherever they stand."""
+    return F.array_intersect(F.split(F.regexp_replace(raw, "([&+])", " $1 "), " "), F.array(*map(F.lit, SMALL)))
+
+
+def learn_token_map(pairs: DataFrame, min_count: int = 3, min_share: float = 0.6) -> DataFrame:
+    """tok, target from true pairs of token lists (rec, s1): the target that stands at a token's place often and mostly.
+
+    Only pairs of equally many tokens tell places apart.
+    """
+    met = pairs.where(F.size("rec") == F.size("s1")).select(F.explode(F.arrays_zip("rec", "s1")).alias("z")).groupBy(F.col("z.rec").alias("tok"), F.col("z.s1").alias("target")).agg(F.count(F.lit(1)).alias("n"))
+    share = F.col("n") / F.sum("n").over(Window.partitionBy("tok"))
+    return met.withColumn("share", share).where((F.col("n") >= min_count) & (F.col("share") >= min_share)).select("tok", "target")

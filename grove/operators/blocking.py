@@ -74,6 +74,12 @@ def key_candidates(s1: DataFrame, recs: DataFrame, cap: int = CAP) -> DataFrame:
     return ours.select(F.col("entity_id").alias("s1"), "kind", "key").join(with_keys(recs).withColumnRenamed("entity_id", "rec"), ["kind", "key"]).select("s1", "rec").distinct()
 
 
+def key_sizes(s1: DataFrame, recs: DataFrame, cap: int = CAP) -> DataFrame:
+    """kind, pairs, entities, records that each kind of key brings together."""
+    ours = with_keys(s1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("kind", "key"))).where(F.col("n") <= cap).select("kind", "key", F.col("entity_id").alias("s1"))
+    return ours.join(with_keys(recs).withColumnRenamed("entity_id", "rec"), ["kind", "key"]).groupBy("kind").agg(F.count(F.lit(1)).alias("pairs"), F.countDistinct("s1").alias("entities"), F.countDistinct("rec").alias("records"))
+
+
 def rule_matches(s1: DataFrame, recs: DataFrame) -> DataFrame:
     """s1, rec: equal country, name key and house number, where these are unique among the reference entities."""
     keyed = lambda d: d.where("name_key <> '' and hn <> ''").select("entity_id", "country", "name_key", "hn")

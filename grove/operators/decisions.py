@@ -60,3 +60,38 @@ def threshold_curve(spark: SparkSession, scored: DataFrame, truth: DataFrame, s1
     d = every.join(got, ["s1", "t"], "left").fillna(0)
     f = F.when(F.col("n_true") == 0, (F.col("n_pred") == 0).cast("double")).otherwise(1.25 * F.col("tp") / (F.col("n_pred") + 0.25 * F.col("n_true")))
     return d.groupBy("t").agg(F.avg(f).alias("f05"))
+
+
+def outcomes(per: DataFrame) -> DataFrame:
+    """per_entity's rows with outcome: how an entity's matches compare with the truth."""
+    alone, none = F.col("n_true") == 0, F.col("n_pred") == 0
+    kind = F.when(alone & none, "correct_singleton").when(alone, "false_merge").when((F.col("tp") == F.col("n_true")) & (F.col("n_pred") == F.col("n_true")), "exact").when(F.col("tp") < F.col("n_pred"), "has_false_match").otherwise("missed_match")
+    return per.withColumn("outcome", kind)
+
+
+def list_entities(entities: DataFrame, country: str | None = None, q: str | None = None, outcome: str | None = None, offset: int = 0, limit: int = 25) -> tuple[int, DataFrame]:
+    """How many entities fit, and one page of them by id. q: a literal part of name, id or address in any case; outcome: one, or errors."""
+    d = entities
+    if country:
+        d = d.where(F.col("country") == country)
+    if q and q.strip():
+        d = d.where(F.contains(F.lower(F.concat_ws("\n", "business_name", "s1", "business_address")), F.lit(q.strip().lower())))
+    if outcome:
+        d = d.where(F.col("outcome").isin("false_merge", "has_false_match", "missed_match") if outcome == "errors" else F.col("outcome") == outcome)
+    return d.count(), d.orderBy("s1").offset(offset).limit(limit)
+
+
+def by_country(scored: DataFrame, country: DataFrame, thresholds: dict[str, float], default: float = 0.7) -> DataFrame:
+    """Pairs that reach the threshold of their entity's country. country: s1, country."""
+    least = F.coalesce(F.create_map(*[F.lit(x) for kv in thresholds.items() for x in kv])[F.col("country")], F.lit(default)) if thresholds else F.lit(default)
+    return scored.join(country, "s1").where(F.col("p") >= least).select(*scored.columns)
+
+
+def rescaled(scored: DataFrame, a: float) -> DataFrame:
+    """p with its odds multiplied by a."""
+    return scored.withColumn("p", a * F.col("p") / (a * F.col("p") + 1 - F.col("p")))
+
+
+def slices(pred: DataFrame, truth: DataFrame, s1: DataFrame, country: DataFrame) -> DataFrame:
+    """country, n_s1, f05 and recall of each country's entities. country: s1, country."""
+    return per_entity(pred, truth, s1).join(country, "s1").groupBy("country").agg(F.count(F.lit(1)).alias("n_s1"), F.avg("f05").alias("f05"), F.coalesce(F.try_divide(F.sum("tp"), F.sum("n_true")), F.lit(0.0)).alias("recall"))

@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grove.functions import similarity as sim
+from grove.functions.text import small_words
 
 NAME = ["name_ratio", "name_tset", "name_partial", "name_jw", "ns_ratio", "addr_tset", "addr_partial", "hn_lev"]
 COMP = ["rev_is_best_cos", "rev_margin_cos", "rev_rel_cos", "rev_rel_name", "ctx_rel_cos", "ctx_gap_cos", "ctx_rel_name", "ctx_rel_addr", "ctx_is_best_cos"]
 DIFF = ["n_tok_extra", "n_tok_miss", "hn_delta", "hn_absdelta", "hn_substr"]
 GEN = ["n_extra_generic", "n_extra_rare", "n_miss_generic", "n_miss_rare", "core_eq", "core_tset"]
 GENERIC_SHARE = 0.001
+#: Reference names from which on a word is a real one, and words of a pair that are aligned. Fixed values.
+REAL_DF, ALIGNED = 2, 4
 
 
 def clip(x: Column, lo: float, hi: float) -> Column:
@@ -104,3 +107,36 @@ def legal_features(pairs: DataFrame, forms1: DataFrame, forms2: DataFrame) -> Da
     a, b = F.col("legal_1") != "", F.col("legal_2") != ""
     same = F.col("legal_1") == F.col("legal_2")
     return d.select(*pairs.columns, (a & b & same).cast("int").alias("lf_equal"), (a & b & ~same).cast("int").alias("lf_diff"), (a != b).cast("int").alias("lf_one_side"))
+
+
+def raw_features(pairs: DataFrame, raw1: DataFrame, raw2: DataFrame) -> DataFrame:
+    """How raw names differ, from (entity_id, raw) of both sides."""
+    d = sides(pairs, raw1, raw2, ["raw"])
+    a, b = small_words(F.col("raw_1")), small_words(F.col("raw_2"))
+    return d.select(*pairs.columns, sim.ratio("raw_1", "raw_2").alias("raw_ratio"), sim.token_sort("raw_1", "raw_2").alias("raw_tsort"), (F.col("raw_1") == F.col("raw_2")).cast("int").alias("raw_eq"), (F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))).alias("raw_small_diff"))
+
+
+def token_df(s1: DataFrame) -> DataFrame:
+    """country, tok, df: in how many of a country's reference names a token stands."""
+    return s1.select("country", F.explode(F.array_distinct(F.filter(F.split("name_tok", " "), lambda w: w != ""))).alias("tok")).groupBy("country", "tok").agg(F.count(F.lit(1)).alias("df"))
+
+
+def vocab_features(pairs: DataFrame, s1: DataFrame, recs: DataFrame, df: DataFrame, generic: DataFrame) -> DataFrame:
+    """Whether a record's extra words are words of the entity's country or seen nowhere, and how well missing ones explain them.
+
+    pairs: s1, rec, once each. Of each pair the first ALIGNED extra and missing words count. tok_align: the best similarity
+    of an extra with a missing word; vocab_align: the worst such best among real words. -1: nothing to align;
+    vocab_align 0: a real word was added and none is missing.
+    """
+    toks = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda w: w != ""))
+    d = sides(pairs.select("s1", "rec"), s1, recs, ["name_tok"]).join(s1.select(F.col("entity_id").alias("s1"), "country"), "s1")
+    a, b = toks("name_tok_1"), toks("name_tok_2")
+    d = d.select("s1", "rec", "country", F.slice(F.array_except(b, a), 1, ALIGNED).alias("extra"), F.slice(F.array_except(a, b), 1, ALIGNED).alias("miss"))
+    each = d.select("s1", "rec", "country", "miss", F.explode("extra").alias("tok")).join(df, ["country", "tok"], "left").join(generic.withColumn("g", F.lit(True)), ["country", "tok"], "left")
+    n = F.coalesce("df", F.lit(0))
+    each = each.withColumn("voc", F.isnull("g") & (n >= REAL_DF)).withColumn("unseen", n < REAL_DF)
+    best = each.select("s1", "rec", "tok", "voc", "unseen", F.explode_outer("miss").alias("m")).withColumn("r", F.when(F.col("m").isNotNull(), sim.ratio(F.col("tok"), F.col("m")))).groupBy("s1", "rec", "tok", "voc", "unseen").agg(F.max("r").alias("r"))
+    per = best.groupBy("s1", "rec").agg(F.sum(F.col("voc").cast("int")).alias("n_extra_vocab"), F.sum(F.col("unseen").cast("int")).alias("n_extra_unseen"), F.max("r").alias("tok_align"), F.min(F.when(F.col("voc"), F.col("r"))).alias("vocab_align"))
+    out = pairs.join(per, ["s1", "rec"], "left")
+    real = F.when((F.col("n_extra_vocab") > 0) & F.isnull("vocab_align"), F.lit(0.0)).otherwise(F.coalesce("vocab_align", F.lit(-1.0)))
+    return out.select(*pairs.columns, F.coalesce("n_extra_vocab", F.lit(0)).alias("n_extra_vocab"), F.coalesce("n_extra_unseen", F.lit(0)).alias("n_extra_unseen"), F.coalesce("tok_align", F.lit(-1.0)).alias("tok_align"), real.alias("vocab_align"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from grove.functions import similarity
-from grove.functions.text import normalize
+from grove.functions.text import learn_token_map, legal_form, normalize, raw_name
 from grove.operators import blocking, collective, decisions, features
 from grove.plans import resolve as plan
 from grove.sources import records
@@ -240,7 +240,59 @@ def resolve(s, d):
     return plan.resolve(s1, recs, known, min_count=2, expand_count=5)
 
 
-_ALL = [norm_fields, rule_matches, key_candidates, aliases, s1_state, infer_state, tfidf_name_topk, tfidf_candidates, pair_features, competition_features, diff_features, generic_features, string_distances, string_ratios, twin_components, collective_features, exclusive, expected_f_decode, threshold_decode, eval_per_entity, eval_summary, candidate_metrics, threshold_curve, id_lists, truth_explode, source_stats, validation_issues, vote_patterns, null_safe_join, semi_anti, top_per_group, page, resolve]
+def _named(s, d, **cols):
+    e = ents(s, d).select("entity_id", *[f(F.col("business_name")).alias(c) for c, f in cols.items()])
+    return e.where(F.col("entity_id").startswith("S1-")), e.where(~F.col("entity_id").startswith("S1-"))
+
+
+def country_of(s, d):
+    return table(s, d, "part").select(F.concat(F.lit("S1-"), F.col("p_partkey").cast("string")).alias("s1"), F.when(F.col("p_size") <= 25, "US").otherwise("India").alias("country"))
+
+
+def legal_features(s, d):
+    return features.legal_features(key_candidates(s, d), *_named(s, d, legal=legal_form))
+
+
+def raw_features(s, d):
+    return features.raw_features(key_candidates(s, d), *_named(s, d, raw=raw_name)).select("s1", "rec", "raw_eq", "raw_small_diff")
+
+
+def vocab_counts(s, d):
+    a, b = sides(s, d)
+    return features.vocab_features(blocking.key_candidates(a, b, 5), a, b, features.token_df(a), features.generic_tokens(a, 0.05)).select("s1", "rec", "n_extra_vocab", "n_extra_unseen")
+
+
+def group_gains(s, d):
+    a, b = sides(s, d)
+    f = features.pair_features(blocking.key_candidates(a, b, 5), a, b).select("s1", "rec", (F.col("fz") / 100).alias("p1"), "name_tset", "addr_tset")
+    return collective.group_gains(f, b)
+
+
+def token_map(s, d):
+    return learn_token_map(table(s, d, "part").select(F.split("p_name", " ").alias("rec"), F.split("p_type", " ").alias("s1")), 3, 0.3)
+
+
+def key_sizes(s, d):
+    return blocking.key_sizes(*sides(s, d), cap=5)
+
+
+def entity_outcomes(s, d):
+    return decisions.outcomes(eval_per_entity(s, d)).select("s1", "n_pred", "n_true", "tp", "outcome")
+
+
+def country_thresholds(s, d):
+    return decisions.by_country(exclusive(s, d), country_of(s, d), {"US": 0.6, "India": 0.75})
+
+
+def odds_rescaled(s, d):
+    return _rounded(decisions.rescaled(exclusive(s, d), 0.5), "p")
+
+
+def slice_metrics(s, d):
+    return _rounded(decisions.slices(exclusive(s, d), truth(s, d), all_s1(s, d), country_of(s, d)), "f05", "recall")
+
+
+_ALL = [legal_features, raw_features, vocab_counts, group_gains, token_map, key_sizes, entity_outcomes, country_thresholds, odds_rescaled, slice_metrics, norm_fields, rule_matches, key_candidates, aliases, s1_state, infer_state, tfidf_name_topk, tfidf_candidates, pair_features, competition_features, diff_features, generic_features, string_distances, string_ratios, twin_components, collective_features, exclusive, expected_f_decode, threshold_decode, eval_per_entity, eval_summary, candidate_metrics, threshold_curve, id_lists, truth_explode, source_stats, validation_issues, vote_patterns, null_safe_join, semi_anti, top_per_group, page, resolve]
 QUERIES = {f.__name__: f for f in _ALL}
 
 _KC = f"WITH {NORM}, {KEYS}, kc AS (SELECT DISTINCT a.entity_id AS s1, b.entity_id AS rec FROM (SELECT *, count(*) OVER (PARTITION BY kind, key) AS n FROM k WHERE starts_with(entity_id,'S1-')) a JOIN k b USING (kind, key) WHERE a.n <= 5 AND NOT starts_with(b.entity_id,'S1-'))"
@@ -248,7 +300,27 @@ _STATE = """st AS (SELECT entity_id, country, part AS state FROM (SELECT *, row_
   (SELECT entity_id, country, unnest(parts) AS part, unnest(range(len(parts))) AS pos FROM s1n) WHERE NOT regexp_matches(part,'[0-9]'))) WHERE rn = 1),
 an AS (SELECT p.country, p.part, st.state, count(*) AS n FROM (SELECT DISTINCT entity_id, country, unnest(parts) AS part FROM s1n) p LEFT JOIN st ON st.entity_id = p.entity_id GROUP BY 1, 2, 3),
 al AS (SELECT country, part, state FROM (SELECT *, n / sum(n) OVER (PARTITION BY country, part) AS share FROM an) WHERE n >= 2 AND share >= 0.6)"""
+_CANON = "CASE w WHEN 'incorporated' THEN 'inc' WHEN 'corporation' THEN 'corp' WHEN 'company' THEN 'co' WHEN 'limited' THEN 'ltd' WHEN 'private' THEN 'pvt' ELSE w END"
+_TOKS = "list_distinct(list_filter(string_split({}.name_tok,' '), lambda w: w <> ''))"
+_SMALL = """list_distinct(list_filter(string_split(regexp_replace({}, '([&+])', ' \\1 ', 'g'), ' '), lambda w: list_contains(['&','and','the','of','+','-',chr(39)||'s'], w)))"""
+_COUNTRY = "ctry AS (SELECT 'S1-'||p_partkey AS s1, CASE WHEN p_size <= 25 THEN 'US' ELSE 'India' END AS country FROM part)"
 SQL = {
+    "legal_features": f"""{_KC}, lf AS (SELECT entity_id, array_to_string(list_sort(list_distinct(list_transform(list_filter(string_split({CLEAN.format('business_name')}, ' '), lambda w: list_contains({LISTED}, w) AND w NOT IN ('and','the','of')), lambda w: {_CANON}))), ' ') AS f FROM ents)
+SELECT s1, rec, CASE WHEN a.f <> '' AND a.f = b.f THEN 1 ELSE 0 END AS lf_equal, CASE WHEN a.f <> '' AND b.f <> '' AND a.f <> b.f THEN 1 ELSE 0 END AS lf_diff, CASE WHEN (a.f = '') <> (b.f = '') THEN 1 ELSE 0 END AS lf_one_side FROM kc JOIN lf a ON a.entity_id = s1 JOIN lf b ON b.entity_id = rec""",
+    "raw_features": f"""{_KC}, rn AS (SELECT entity_id, trim(regexp_replace(lower(business_name), '\\s+', ' ', 'g')) AS r FROM ents), j AS (SELECT s1, rec, a.r AS ra, b.r AS rb, {_SMALL.format('a.r')} AS sa, {_SMALL.format('b.r')} AS sb FROM kc JOIN rn a ON a.entity_id = s1 JOIN rn b ON b.entity_id = rec)
+SELECT s1, rec, CASE WHEN ra = rb THEN 1 ELSE 0 END AS raw_eq, len(list_filter(sa, lambda w: NOT list_contains(sb, w))) + len(list_filter(sb, lambda w: NOT list_contains(sa, w))) AS raw_small_diff FROM j""",
+    "vocab_counts": f"""{_KC}, df AS (SELECT country, tok, count(*) AS df FROM (SELECT DISTINCT entity_id, country, unnest(string_split(name_tok,' ')) AS tok FROM s1n) WHERE tok <> '' GROUP BY ALL), nn AS (SELECT country, count(*) AS n FROM s1n GROUP BY 1),
+j AS (SELECT s1, rec, a.country, {_TOKS.format('a')} AS ta, string_split(b.name_tok,' ') AS tb FROM kc JOIN norm a ON a.entity_id = s1 JOIN norm b ON b.entity_id = rec),
+o AS (SELECT s1, rec, country, list_filter(tb, lambda w: w <> '' AND NOT list_contains(ta, w)) AS x FROM j), x AS (SELECT s1, rec, country, unnest(list_filter(x, lambda w, i: list_position(x, w) = i)[1:4]) AS tok FROM o),
+c AS (SELECT s1, rec, CAST(sum(CASE WHEN coalesce(df,0) >= 2 AND NOT df >= 0.05*n THEN 1 ELSE 0 END) AS BIGINT) AS v, CAST(sum(CASE WHEN coalesce(df,0) < 2 THEN 1 ELSE 0 END) AS BIGINT) AS u FROM x JOIN nn USING (country) LEFT JOIN df USING (country, tok) GROUP BY ALL)
+SELECT s1, rec, coalesce(v, 0) AS n_extra_vocab, coalesce(u, 0) AS n_extra_unseen FROM kc LEFT JOIN c USING (s1, rec)""",
+    "token_map": """WITH t AS (SELECT string_split(p_name,' ') AS r, string_split(p_type,' ') AS s FROM part), z AS (SELECT unnest(r) AS tok, unnest(s) AS target FROM t WHERE len(r) = len(s)), c AS (SELECT tok, target, count(*) AS n FROM z GROUP BY ALL)
+SELECT tok, target FROM c QUALIFY n >= 3 AND n / sum(n) OVER (PARTITION BY tok) >= 0.3""",
+    "key_sizes": f"WITH {NORM}, {KEYS} SELECT kind, count(*) AS pairs, count(DISTINCT a.entity_id) AS entities, count(DISTINCT b.entity_id) AS records FROM (SELECT *, count(*) OVER (PARTITION BY kind, key) AS n FROM k WHERE starts_with(entity_id,'S1-')) a JOIN k b USING (kind, key) WHERE a.n <= 5 AND NOT starts_with(b.entity_id,'S1-') GROUP BY kind",
+    "entity_outcomes": f"WITH {SCORED}, {EXCL}, {PER} SELECT s1, n_pred, n_true, tp, CASE WHEN n_true = 0 AND n_pred = 0 THEN 'correct_singleton' WHEN n_true = 0 THEN 'false_merge' WHEN tp = n_true AND n_pred = n_true THEN 'exact' WHEN tp < n_pred THEN 'has_false_match' ELSE 'missed_match' END AS outcome FROM perf",
+    "country_thresholds": f"WITH {SCORED}, {EXCL}, {_COUNTRY} SELECT s1, rec, p FROM excl JOIN ctry USING (s1) WHERE p >= CASE WHEN country = 'US' THEN 0.6 ELSE 0.75 END",
+    "odds_rescaled": f"WITH {SCORED}, {EXCL} SELECT s1, rec, round(0.5*p/(0.5*p+1-p), 6) AS p FROM excl",
+    "slice_metrics": f"WITH {SCORED}, {EXCL}, {PER}, {_COUNTRY} SELECT country, count(*) AS n_s1, round(avg(f05),6) AS f05, round(coalesce(sum(tp)/sum(n_true),0),6) AS recall FROM perf JOIN ctry USING (s1) GROUP BY 1",
     "norm_fields": f"WITH {NORM} SELECT entity_id, name_tok, name_key, name_ns, addr, hn, array_to_string(parts, ';') AS parts FROM norm",
     "rule_matches": f"WITH {NORM} SELECT a.entity_id AS s1, b.entity_id AS rec FROM (SELECT *, count(*) OVER (PARTITION BY country, name_key, hn) AS n FROM s1n WHERE name_key <> '' AND hn <> '') a JOIN recn b USING (country, name_key, hn) WHERE n = 1",
     "key_candidates": f"{_KC} SELECT * FROM kc",

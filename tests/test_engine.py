@@ -84,6 +84,37 @@ def test_components(spark):
     assert {r[0]: r[1] for r in collective.components(edges).collect()} == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x"}
 
 
+def test_group_gains(spark):
+    pairs = spark.createDataFrame([("A", "good", 0.9, 100.0, 100.0), ("A", "slip", 0.3, 70.0, 95.0), ("A", "swap", 0.6, 60.0, 100.0), ("A", "moved", 0.5, 90.0, 90.0)], "s1 string, rec string, p1 double, name_tset double, addr_tset double")
+    recs = spark.createDataFrame([("good", "northern lights bakery", "12 hill road", "12"), ("slip", "northern lihgts bakery", "12 hill road", "12"), ("swap", "southern crown bakery", "12 hill road", "12"), ("moved", "northern lights bakery", "14 hill road", "14")], "entity_id string, name_tok string, addr string, hn string")
+    got = {r["rec"]: r for r in collective.group_gains(pairs, recs).collect()}
+    assert abs(got["slip"]["g_p1_gain"] - 0.6) < 1e-9 and got["slip"]["g_name_gain"] == 30 and got["slip"]["g_addr_gain"] == 5
+    assert all(got[r]["g_p1_gain"] == got[r]["g_name_gain"] == 0 for r in ("good", "swap", "moved"))
+
+
+def test_vocab_features(spark):
+    names = lambda *x: spark.createDataFrame(list(x), "entity_id string, country string, name_tok string")
+    s1 = names(("A", "US", "harbor daniels"), ("B", "US", "hanner mill"), ("C", "US", "hanner creek"))
+    recs = names(("r1", "US", "harbor danels"), ("r2", "US", "harbor hanner"), ("r3", "US", "harbor daniels hanner"), ("r4", "US", "harbor"))
+    pairs = spark.createDataFrame([("A", f"r{i}") for i in range(1, 5)], "s1 string, rec string")
+    got = {r["rec"]: tuple(r)[2:] for r in features.vocab_features(pairs, s1, recs, features.token_df(s1), features.generic_tokens(s1, 0.9)).collect()}
+    assert got["r1"][:2] == (0, 1) and got["r1"][2] > 90 and got["r1"][3] == -1
+    assert got["r2"][:2] == (1, 0) and 0 < got["r2"][3] < 80 and got["r3"] == (1, 0, -1.0, 0.0) and got["r4"] == (0, 0, -1.0, -1.0)
+
+
+def test_raw_names(spark):
+    assert one(spark, "  Élan &  Sons Ltd ", text.raw_name) == "elan & sons ltd"
+    raw = spark.createDataFrame([("A", "elan sons limited"), ("r", "elan&sons the ltd")], "entity_id string, raw string")
+    assert features.raw_features(spark.createDataFrame([("A", "r")], "s1 string, rec string"), raw, raw).first()["raw_small_diff"] == 2
+
+
+def test_entity_pages(spark):
+    e = spark.createDataFrame([("S1-1", "Alder Mill", "1 A St", "US", "exact"), ("S1-2", "Birch Mill", "2 B St", "US", "false_merge"), ("S1-3", "Cedar", "mill lane", "India", "missed_match")], "s1 string, business_name string, business_address string, country string, outcome string")
+    total, page = decisions.list_entities(e, q="MILL", offset=1, limit=1)
+    assert total == 3 and [r["s1"] for r in page.collect()] == ["S1-2"]
+    assert decisions.list_entities(e, country="US", outcome="errors")[0] == 1
+
+
 def test_similarity():
     rng = random.Random(1)
 
