@@ -20,8 +20,9 @@ SUBSPACE, CENTRES, THRESHOLD = 2, 16, 0.2
 #: Rows that the fit samples, at most about so many.
 FIT_ROWS = 20_000
 #: Vectors of a block at most, blocks at least, queries that scan a block in one task, queries whose tables are held at once,
-#: and the scan's survivors that are scored exactly, per neighbour asked for. Every block is scanned for every query.
-BLOCK_ROWS, LEAST_BLOCKS, BATCH_QUERIES, SIDE_BY_SIDE, RERANK = 32_768, 48, 8192, 64, 2
+#: and the scan's survivors that are scored exactly: so many per neighbour asked for, and one row in so many of the block
+#: at least, so that large blocks lose no more than small ones. Every block is scanned for every query.
+BLOCK_ROWS, LEAST_BLOCKS, BATCH_QUERIES, SIDE_BY_SIDE, RERANK, ONE_IN = 32_768, 48, 8192, 64, 2, 64
 
 
 def usable(v: Column) -> Column:
@@ -169,7 +170,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
             data = data.sort_by("vec_id")
             x, ids, at = matrix(data.column("v")), data.column("vec_id").to_numpy(), np.arange(data.num_rows, dtype=np.uint64)
             codes = np.frombuffer(b"".join(data.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
-            queries_, own_ids, r = matrix(asks.column("v")), asks.column("vec_id").to_numpy(), min(RERANK * k, len(ids))
+            queries_, own_ids, r = matrix(asks.column("v")), asks.column("vec_id").to_numpy(), min(max(RERANK * k, len(ids) // ONE_IN), len(ids))
             for begin in range(0, len(own_ids), SIDE_BY_SIDE):
                 q, own = queries_[begin : begin + SIDE_BY_SIDE], own_ids[begin : begin + SIDE_BY_SIDE, None]
                 # Equal sums go to the smaller id; a query's own row comes last.
