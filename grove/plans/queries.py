@@ -87,8 +87,8 @@ def rule_matches(s, d):
     return blocking.rule_matches(*sides(s, d))
 
 
-def key_candidates(s, d, cap=5):
-    return blocking.key_candidates(*sides(s, d), cap=cap)
+def key_candidates(s, d):
+    return blocking.key_candidates(*sides(s, d))
 
 
 def aliases(s, d):
@@ -117,7 +117,7 @@ def tfidf_candidates(s, d):
 
 def pair_features(s, d):
     a, b = sides(s, d)
-    return features.pair_features(blocking.key_candidates(a, b, 5), a, b)
+    return features.pair_features(blocking.key_candidates(a, b), a, b)
 
 
 def competition_features(s, d):
@@ -127,12 +127,12 @@ def competition_features(s, d):
 
 def diff_features(s, d):
     a, b = sides(s, d)
-    return features.diff_features(blocking.key_candidates(a, b, 5), a, b)
+    return features.diff_features(blocking.key_candidates(a, b), a, b)
 
 
 def generic_features(s, d):
     a, b = sides(s, d)
-    return features.generic_features(blocking.key_candidates(a, b, 5), a, b, features.generic_tokens(a, 0.05)).drop("core_tset")
+    return features.generic_features(blocking.key_candidates(a, b), a, b, features.generic_tokens(a, 0.05)).drop("core_tset")
 
 
 def string_distances(s, d):
@@ -259,12 +259,12 @@ def raw_features(s, d):
 
 def vocab_counts(s, d):
     a, b = sides(s, d)
-    return features.vocab_features(blocking.key_candidates(a, b, 5), a, b, features.token_df(a), features.generic_tokens(a, 0.05)).select("s1", "rec", "n_extra_vocab", "n_extra_unseen")
+    return features.vocab_features(blocking.key_candidates(a, b), a, b, features.token_df(a), features.generic_tokens(a, 0.05)).select("s1", "rec", "n_extra_vocab", "n_extra_unseen")
 
 
 def group_gains(s, d):
     a, b = sides(s, d)
-    f = features.pair_features(blocking.key_candidates(a, b, 5), a, b).select("s1", "rec", (F.col("fz") / 100).alias("p1"), "name_tset", "addr_tset")
+    f = features.pair_features(blocking.key_candidates(a, b), a, b).select("s1", "rec", (F.col("fz") / 100).alias("p1"), "name_tset", "addr_tset")
     return collective.group_gains(f, b)
 
 
@@ -273,7 +273,7 @@ def token_map(s, d):
 
 
 def key_sizes(s, d):
-    return blocking.key_sizes(*sides(s, d), cap=5)
+    return blocking.key_sizes(*sides(s, d))
 
 
 def entity_outcomes(s, d):
