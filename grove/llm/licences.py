@@ -46,17 +46,38 @@ RULES = [
 ]
 #: Sentences end at a mark with white space behind it and at line ends, so that version numbers stay whole.
 BREAK = "[.!?;:]+[ \t\r\n\f]+|[\r\n]+"
-_BREAK, _OTHER = re.compile(BREAK), re.compile("[^a-z0-9]+")
+_BREAK, _OTHER, _LINE = re.compile(f"({BREAK})"), re.compile("[^a-z0-9]+"), re.compile("\r\n|\r|\n")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _KNOWN = {s: i for i, forms in SENTENCES.items() for s in forms}
+#: The known sentences and what they begin with, cut at words.
+_BEGUN = {s[:at] for s in _KNOWN for at in [*(m.start() for m in re.finditer(" ", s)), len(s)]}
+
+
+def _open(mark: str) -> bool:
+    """A single line end, semicolon or colon, behind which a known sentence may go on."""
+    return not set(mark) & set(".!?") and len(_LINE.findall(mark)) <= 1
 
 
 def identifiers(text: str | None) -> list[str]:
-    """The identifiers of the known sentences of a text, in order; other sentences are passed over."""
-    out = []
-    for sentence in _BREAK.split((text or "").translate(_LOWER) + "\n"):
-        if len(sentence) >= 20 and (found := _KNOWN.get(_OTHER.sub(" ", sentence).strip())):
+    """The identifiers of the known sentences of a text, in order; other sentences are passed over.
+
+    Wrapped sentences count: where pieces begin a known sentence they are joined over single line ends, semicolons and
+    colons, never over blank lines or full stops, and the longest known sentence is taken. Comment signs are no letters.
+    """
+    out, at = [], 0
+    cut = _BREAK.split((text or "").translate(_LOWER) + "\n")
+    while at < len(cut):
+        sentence, end = _OTHER.sub(" ", cut[at]).strip(), at
+        found, after = None, at + 2
+        while sentence in _BEGUN:
+            if sentence in _KNOWN:
+                found, after = _KNOWN[sentence], end + 2
+            if end + 2 >= len(cut) or not _open(cut[end + 1]) or not (more := _OTHER.sub(" ", cut[end + 2]).strip()):
+                break
+            sentence, end = f"{sentence} {more}", end + 2
+        if found:
             out.append(found)
+        at = after
     return out
 
 

@@ -249,6 +249,58 @@ def test_licences():
     assert licences.licences(["bsd.source", "bsd.permit", "bsd.binary"]) == [] and licences.identifiers(None) == []
 
 
+WRAPPED = {
+    "MIT": """MIT License
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+""",
+    "GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+""",
+}
+WRAPPED["BSD-3-Clause"] = WRAPPED["BSD-2-Clause"] + """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+
+
+@pytest.mark.parametrize("name", sorted(WRAPPED))
+def test_wrapped_licences(name):
+    text = WRAPPED[name]
+    for prefix in ("", "# ", " * ", "// "):
+        for end in ("\n", "\r\n"):
+            own = end.join(prefix + line for line in text.split("\n"))
+            assert licences.licences(licences.identifiers("Notes follow" + end + own + end + "and end")) == [name]
+    # A blank line or a full stop ends a sentence, and a known sentence inside a longer one is none.
+    assert licences.identifiers("Released under\n\nthe MIT License\nReleased under. the MIT License\nReleased under the MIT License today") == []
+
+
 @pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_oracle(spark, name):
     con = duckdb.connect()
