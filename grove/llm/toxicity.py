@@ -102,7 +102,8 @@ def fit_grammar(docs: DataFrame, labels: DataFrame, usable: Column, rows: int =
     The sample: about `rows` of the labelled rows, picked by the id's hash; it never grows with the corpus. A word or stem
     is a candidate if LEAST_ROWS toxic rows hold it with LEAST_PRECISION; from the candidates those are taken, one by one,
     that explain most of the toxic rows not explained so far, so that the chance words of a much-copied toxic document,
-    which its real insult explains already, add nothing; then those that many different toxic texts hold.
+    which its real insult explains already, add nothing; then those that many different toxic texts hold. Every candidate
+    is weighed, and the sample bounds their number.
     """
     kept = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & usable).select("doc_id", "toxic").dropDuplicates(["doc_id"])
     n = kept.count()
@@ -123,9 +124,8 @@ def fit_grammar(docs: DataFrame, labels: DataFrame, usable: Column, rows: int =
     rows_of = sample.select(F.col("doc_id").cast("long"), "text", F.col("toxic").cast("int")).mapInArrow(features, "doc_id long, stem string, toxic int")
     counts = rows_of.groupBy("stem").agg(F.sum("toxic").alias("pos"), F.count(F.lit(1)).alias("n"))
     good = counts.where((F.col("pos") >= LEAST_ROWS) & (F.col("pos") >= LEAST_PRECISION * F.col("n")))
-    best = good.orderBy(F.desc("pos"), "stem").limit(2000).collect()
+    best = good.collect()
     stems = {r["stem"] for r in best}
-    held: dict[int, tuple] = {}
 
     def only(batches):
         from_best = stems
@@ -146,34 +146,40 @@ def fit_grammar(docs: DataFrame, labels: DataFrame, usable: Column, rows: int =
 
     LEX = {w: kind for kind, ws in LEXICON.items() for w in ws.split()}
     found = sample.select(F.col("doc_id").cast("long"), "text", F.col("toxic").cast("int")).mapInArrow(only, "doc_id long, stems array<string>, toxic int, text string, least long")
+    # Copies come once, with their number, so that a much-copied text of many candidates does not fill the driver.
+    found = found.where("toxic = 1 or text <> ''").groupBy("stems", "toxic", "text", "least").agg(F.count(F.lit(1)).alias("copies"))
     base = {s: (r["pos"], r["n"]) for r in best for s in [r["stem"]]}
     evidence = Counter()
-    for r in found.where("toxic = 1 or text <> ''").collect():
-        held[r["doc_id"]] = (set(r["stems"]), r["toxic"], r["text"], r["least"])
-    rest = {d: h[0] for d, h in held.items() if h[1]}
+    held = [(set(r["stems"]), r["toxic"], r["text"], r["least"], r["copies"]) for r in found.collect()]
+    rest = [(h[0], h[4]) for h in held if h[1]]
     chosen: list[str] = []
-    total = max(len(rest), 1)
+    total = max(sum(n for _, n in rest), 1)
+    gain = Counter()
+    for s, n in rest:
+        gain.update(dict.fromkeys(s, n))
     while rest:
-        gain = Counter(x for s in rest.values() for x in s)
         # Of stems that explain equally much the whole word comes first, then the longer stem.
         top = max(gain, key=lambda x: (gain[x] * base[x][0] / base[x][1], x[0] == "=", len(x), x), default=None)
         if top is None or gain[top] < max(LEAST_ROWS / 2, 0.002 * total):
             break
         chosen.append(top)
-        rest = {d: s for d, s in rest.items() if top not in s}
+        for s, n in rest:
+            if top in s:
+                gain.subtract(dict.fromkeys(s, n))
+        rest = [(s, n) for s, n in rest if top not in s]
     apart: dict[str, set] = {}
-    for s, toxic, _, group in held.values():
+    for s, toxic, _, group, _ in held:
         for x in s if toxic else ():
             apart.setdefault(x, set()).add(group)
-    least = max(2 * LEAST_ROWS, COMMON * len({h[3] for h in held.values() if h[1]}))
+    least = max(2 * LEAST_ROWS, COMMON * len({h[3] for h in held if h[1]}))
     for x in sorted(apart, key=lambda x: (-len(apart[x]), -len(x), x)):
         known, own = [c.lstrip("=") for c in chosen] + [w for w, k in LEX.items() if k in (INSULT, THREAT)], x.lstrip("=")
         if len(apart[x]) >= least and base[x][0] >= 0.995 * base[x][1] and not any(own.startswith(c) or c.startswith(own) for c in known):
             chosen.append(x)
     plain = Grammar(chosen)
-    for _, toxic, text, _ in held.values():
+    for _, toxic, text, _, copies in held:
         if len(kinds := set(plain.patterns(text))) == 1 and (one := kinds.pop())[0] == INSULT:
-            evidence[one[1], toxic] += 1
+            evidence[one[1], toxic] += copies
     weights = {}
     for p, prior in PRIOR.items():
         share = 1 / (1 + math.exp(-(prior + BIAS)))

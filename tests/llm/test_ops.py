@@ -121,6 +121,22 @@ def test_toxicity(spark):
     assert sum(got[i] == bool(t) for i, t in labels) >= 0.98 * len(labels)
 
 
+def test_toxicity_of_much_copied_texts(spark):
+    """The 3,000 words of one text with 60 copies do not crowd out an insult that 30 other texts hold."""
+    rng, rows, labels = random.Random(6), [], []
+    copied = " ".join(f"k{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(3000)) + " blarga"
+    for i in range(600):
+        ws = [f"{rng.choice('abcdefghij')}{rng.choice('lmnop')}{rng.choice('qrstuvw')}" for _ in range(30)]
+        if bad := i < 90:
+            ws[rng.randrange(30)] = "zzwutt"
+        rows.append((i, copied if i < 60 else " ".join(ws)))
+        labels.append((i, int(bad)))
+    d, y = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    grammar = toxicity.fit_grammar(d, y, F.lit(True))
+    got = {r["doc_id"]: r["score"] >= 0.5 for r in toxicity.score_toxicity(d, grammar).collect()}
+    assert all(got[i] == bool(t) for i, t in labels)
+
+
 def test_grammar_composes():
     g = toxicity.Grammar()
     assert g.score("you are an idiot") >= 0.5 and g.score("it is a fine day") < 0.5 and g.score(None) == g.score("") < 0.5
