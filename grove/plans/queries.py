@@ -295,7 +295,7 @@ def slice_metrics(s, d):
 _ALL = [legal_features, raw_features, vocab_counts, group_gains, token_map, key_sizes, entity_outcomes, country_thresholds, odds_rescaled, slice_metrics, norm_fields, rule_matches, key_candidates, aliases, s1_state, infer_state, tfidf_name_topk, tfidf_candidates, pair_features, competition_features, diff_features, generic_features, string_distances, string_ratios, twin_components, collective_features, exclusive, expected_f_decode, threshold_decode, eval_per_entity, eval_summary, candidate_metrics, threshold_curve, id_lists, truth_explode, source_stats, validation_issues, vote_patterns, null_safe_join, semi_anti, top_per_group, page, resolve]
 QUERIES = {f.__name__: f for f in _ALL}
 
-_KC = f"WITH {NORM}, {KEYS}, kc AS (SELECT DISTINCT a.entity_id AS s1, b.entity_id AS rec FROM (SELECT *, count(*) OVER (PARTITION BY kind, key) AS n FROM k WHERE starts_with(entity_id,'S1-')) a JOIN k b USING (kind, key) WHERE a.n <= 5 AND NOT starts_with(b.entity_id,'S1-'))"
+_KC = f"WITH {NORM}, {KEYS}, kc AS (SELECT DISTINCT a.entity_id AS s1, b.entity_id AS rec FROM (SELECT *, count(*) OVER (PARTITION BY kind, key) AS n FROM k WHERE starts_with(entity_id,'S1-')) a JOIN k b USING (kind, key) WHERE a.n <= {blocking.CAP} AND NOT starts_with(b.entity_id,'S1-'))"
 _STATE = """st AS (SELECT entity_id, country, part AS state FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY freq DESC, pos DESC) AS rn FROM (SELECT *, count(*) OVER (PARTITION BY country, part) AS freq FROM
   (SELECT entity_id, country, unnest(parts) AS part, unnest(range(len(parts))) AS pos FROM s1n) WHERE NOT regexp_matches(part,'[0-9]'))) WHERE rn = 1),
 an AS (SELECT p.country, p.part, st.state, count(*) AS n FROM (SELECT DISTINCT entity_id, country, unnest(parts) AS part FROM s1n) p LEFT JOIN st ON st.entity_id = p.entity_id GROUP BY 1, 2, 3),
@@ -316,7 +316,7 @@ c AS (SELECT s1, rec, CAST(sum(CASE WHEN coalesce(df,0) >= 2 AND NOT df >= 0.05*
 SELECT s1, rec, coalesce(v, 0) AS n_extra_vocab, coalesce(u, 0) AS n_extra_unseen FROM kc LEFT JOIN c USING (s1, rec)""",
     "token_map": """WITH t AS (SELECT string_split(p_name,' ') AS r, string_split(p_type,' ') AS s FROM part), z AS (SELECT unnest(r) AS tok, unnest(s) AS target FROM t WHERE len(r) = len(s)), c AS (SELECT tok, target, count(*) AS n FROM z GROUP BY ALL)
 SELECT tok, target FROM c QUALIFY n >= 3 AND n / sum(n) OVER (PARTITION BY tok) >= 0.3""",
-    "key_sizes": f"WITH {NORM}, {KEYS} SELECT kind, count(*) AS pairs, count(DISTINCT a.entity_id) AS entities, count(DISTINCT b.entity_id) AS records FROM (SELECT *, count(*) OVER (PARTITION BY kind, key) AS n FROM k WHERE starts_with(entity_id,'S1-')) a JOIN k b USING (kind, key) WHERE a.n <= 5 AND NOT starts_with(b.entity_id,'S1-') GROUP BY kind",
+    "key_sizes": f"WITH {NORM}, {KEYS} SELECT kind, count(*) AS pairs, count(DISTINCT a.entity_id) AS entities, count(DISTINCT b.entity_id) AS records FROM (SELECT *, count(*) OVER (PARTITION BY kind, key) AS n FROM k WHERE starts_with(entity_id,'S1-')) a JOIN k b USING (kind, key) WHERE a.n <= {blocking.CAP} AND NOT starts_with(b.entity_id,'S1-') GROUP BY kind",
     "entity_outcomes": f"WITH {SCORED}, {EXCL}, {PER} SELECT s1, n_pred, n_true, tp, CASE WHEN n_true = 0 AND n_pred = 0 THEN 'correct_singleton' WHEN n_true = 0 THEN 'false_merge' WHEN tp = n_true AND n_pred = n_true THEN 'exact' WHEN tp < n_pred THEN 'has_false_match' ELSE 'missed_match' END AS outcome FROM perf",
     "country_thresholds": f"WITH {SCORED}, {EXCL}, {_COUNTRY} SELECT s1, rec, p FROM excl JOIN ctry USING (s1) WHERE p >= CASE WHEN country = 'US' THEN 0.6 ELSE 0.75 END",
     "odds_rescaled": f"WITH {SCORED}, {EXCL} SELECT s1, rec, round(0.5*p/(0.5*p+1-p), 6) AS p FROM excl",

@@ -32,9 +32,8 @@ def test_small_cap(spark, shared):
 
 @pytest.mark.parametrize("name", [n for n in NAMES if n in queries.SQL])
 def test_rows_at_the_cap(spark, shared, name):
-    """The registered SQL still says 5; run with 20 in its place it gives the query's rows."""
     con = duckdb.connect()
     con.sql(f"CREATE VIEW part AS SELECT * FROM '{shared}/part.parquet/*.parquet'")
     rows = lambda f: sorted(tuple("" if v is None or v != v else str(v) for v in r) for r in f[sorted(f.columns)].itertuples(index=False, name=None))
     got = rows(queries.QUERIES[name](spark, shared).toPandas())
-    assert got and got == rows(con.sql(queries.SQL[name].replace("a.n <= 5", "a.n <= 20")).df())
+    assert got and got == rows(con.sql(queries.SQL[name]).df())
