@@ -2,7 +2,7 @@
 
 Intermediates are Parquet tables below the folder that the cluster names in ``spark.checkpoint.dir``, so
 that an executor's loss costs only the tasks it was running. A temporary folder is used only where that
-setting is missing, as in tests on one machine.
+setting is missing and all work happens on one machine, as in tests; a cluster without it is an error.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not (master := spark.sparkContext.master).startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='grove-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -41,17 +43,25 @@ def remove(spark: SparkSession, *paths: str) -> None:
 
 
 class Scratch:
-    """Written intermediates of one call. ``keep`` writes and rereads; ``drop`` removes what nothing reads any more."""
+    """Written intermediates of one call. ``keep`` writes and rereads, ``drop`` removes what nothing reads any more, and
+    ``end`` removes all. What is left goes when the process ends, or when ``sweep`` is told that results were written."""
+
+    live: list[Scratch] = []
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.kept, self.count = spark, f"{shared_dir(spark)}/grove-{uuid.uuid4().hex}", [], 0
-        atexit.register(self._end)
+        Scratch.live.append(self)
 
-    def _end(self) -> None:
-        try:
+    def end(self) -> None:
+        if self in Scratch.live:
+            Scratch.live.remove(self)
             remove(self.spark, self.root)
-        except Exception:  # the session may be gone by then
-            pass
+
+    @staticmethod
+    def sweep(*spared: Scratch) -> None:
+        """Ends all but the spared ones: the frames built on them must have been written by now."""
+        for one in [s for s in Scratch.live if s not in spared]:
+            one.end()
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path, self.count = f"{self.root}/{name}-{self.count}", self.count + 1
@@ -65,6 +75,15 @@ class Scratch:
         self.kept = [(kept, p) for kept, p in self.kept if not any(kept is d for d in dfs)]
 
 
+@atexit.register
+def _at_exit() -> None:
+    for one in list(Scratch.live):
+        try:
+            one.end()
+        except Exception:  # the session may be gone by then
+            pass
+
+
 def id_crc(col: str) -> Column:
     """crc32 of the id written as text, as the contracts' folds are defined."""
     return F.crc32(F.col(col).cast("string").cast("binary"))
