@@ -14,6 +14,7 @@ no link between different texts that the bands propose is lost.
 
 from __future__ import annotations
 
+import hashlib
 from collections import OrderedDict
 
 import numpy as np
@@ -41,6 +42,8 @@ REMEMBERED = 32 << 20
 #: Bits of the filter that keeps texts of no pair from travelling, and bits of one of its chunks, as powers of two. A fuller
 #: filter lets more texts pass; the join behind it decides.
 FILTER_BITS, CHUNK_BITS = 25, 19
+#: Centres with members to settle (four numbers each) that are broadcast at most.
+FEW_CENTERS = 100_000
 
 
 def level(n: int) -> int:
@@ -85,29 +88,28 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> tupl
 
 
 def signatures(docs: DataFrame, k: int, threshold: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, digest of the whole set (null: no words), level, regs, and lower: the registers of the level
-    below where a set of that level can still be similar enough, else null."""
+    """doc_id, n_shingles, digest of the whole set (null: no words), mark (a digest of the text itself), level, regs, and
+    lower: the registers of the level below where a set of that level can still be similar enough, else null."""
 
     def run(batches):
         for batch in slices(batches):
             n, digest, at, regs, lower = [], [], [], [], []
-            for words in word_hashes([t or b"" for t in as_bytes(batch.column(1))]):
+            texts = [t or b"" for t in as_bytes(batch.column(1))]
+            for words in word_hashes(texts):
                 found = shingle_set(words, k)
                 n.append(len(found))
                 own = level(len(found))
                 at.append(own)
-                digest.append(_digest(found) if len(found) else None)
+                digest.append(_digest(found.tobytes()) if len(found) else None)
                 regs.append(registers(found, own).tobytes() if len(found) else None)
                 lower.append(registers(found, own - 1).tobytes() if own and threshold * len(found) <= 100 << (own - 1) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(at, pa.int32()), pa.array(regs, pa.binary()), pa.array(lower, pa.binary())], ["doc_id", "n_shingles", "digest", "level", "regs", "lower"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array([_digest(t) for t in texts], pa.binary()), pa.array(at, pa.int32()), pa.array(regs, pa.binary()), pa.array(lower, pa.binary())], ["doc_id", "n_shingles", "digest", "mark", "level", "regs", "lower"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, level int, regs binary, lower binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, mark binary, level int, regs binary, lower binary")
 
 
-def _digest(found: np.ndarray) -> bytes:
-    import hashlib
-
-    return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
+def _digest(content: bytes) -> bytes:
+    return hashlib.blake2b(content, digest_size=16).digest()
 
 
 def _estimated(pairs: DataFrame, reps: DataFrame, threshold: int) -> DataFrame:
@@ -199,7 +201,7 @@ def _marked(id_: Column) -> Column:
 
 
 def _filter(ids: DataFrame) -> np.ndarray:
-    """The filter over ids (rep), as 2 ** FILTER_BITS / 8 bytes whatever the number of ids is. Only chunks reach the driver."""
+    """The filter over ids (least), as 2 ** FILTER_BITS / 8 bytes whatever the number of ids is. Only chunks reach the driver."""
 
     def run(group: pa.Table) -> pa.Table:
         bits, own = np.zeros(1 << CHUNK_BITS, np.uint8), group.column("bit").to_numpy()
@@ -207,14 +209,17 @@ def _filter(ids: DataFrame) -> np.ndarray:
         return pa.table({"chunk": pa.array([int(own[0]) >> CHUNK_BITS], pa.int32()), "bits": pa.array([zstandard.compress(np.packbits(bits, bitorder="little").tobytes())], pa.binary())})
 
     out = np.zeros((1 << (FILTER_BITS - CHUNK_BITS), 1 << (CHUNK_BITS - 3)), np.uint8)
-    chunks = ids.select(_marked(F.col("rep")).alias("bit")).distinct().withColumn("chunk", F.shiftright("bit", CHUNK_BITS)).groupBy("chunk").applyInArrow(run, "chunk int, bits binary")
+    chunks = ids.select(_marked(F.col("least")).alias("bit")).distinct().withColumn("chunk", F.shiftright("bit", CHUNK_BITS)).groupBy("chunk").applyInArrow(run, "chunk int, bits binary")
     for chunk, bits in chunks.collect():
         out[chunk] = np.frombuffer(zstandard.decompress(bytes(bits)), np.uint8)
     return out.ravel()
 
 
 def _packed(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Texts of the ids (rep) as they travel to be compared: zstandard frames, about 0.4 of their size. One text an id."""
+    """rep, blob: the texts of ids (rep, least, mark) as they travel to be compared: zstandard frames, about 0.4 of their size.
+
+    A text is named by its document's id and its own digest; rows that repeat both are one before they travel.
+    """
     wanted = _filter(ids)
 
     def run(batches):
@@ -222,10 +227,12 @@ def _packed(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> Data
         for batch in slices(batches):
             bit = batch.column(2).to_numpy()
             batch = batch.filter(pa.array(((wanted[bit >> 3] >> (bit & 7)) & 1).astype(bool)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([press.compress(t or b"") for t in as_bytes(batch.column(1))], pa.binary())], ["rep", "blob"])
+            texts = [t or b"" for t in as_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_digest(t) for t in texts], pa.binary()), pa.array([press.compress(t) for t in texts], pa.binary())], ["least", "mark", "blob"])
 
-    named = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).where("rep is not null")
-    return named.withColumn("bit", _marked(F.col("rep"))).mapInArrow(run, "rep long, blob binary").join(ids, "rep", "left_semi").dropDuplicates(["rep"])
+    named = docs.select(F.col(id_col).cast("long").alias("least"), F.col(text_col).alias("text")).where("least is not null")
+    sent = named.withColumn("bit", _marked(F.col("least"))).mapInArrow(run, "least long, mark binary, blob binary").dropDuplicates(["least", "mark"])
+    return sent.join(ids, ["least", "mark"]).select("rep", "blob")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
@@ -262,36 +269,38 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: st
     component_id is the smallest doc_id that links reach; kept marks the row whose own id that is.
 
     Null or wordless texts: n_shingles 0, linked with nothing, kept. Equal sets are one class before any pair is formed,
-    so repeated texts cost nothing. Rows that repeat a doc_id count as one document with several texts: each row is
-    returned, and all of them carry the same component_id. A null doc_id takes no part: component_id null, kept true.
-    Empty table: empty result. Columns of docs other than the two named are not read. threshold: 50 to 100.
+    so repeated texts cost nothing. Rows that repeat a doc_id are one document with several texts: each of them is compared,
+    each row is returned, and all of them carry the same component_id. A null doc_id takes no part: component_id null, kept
+    true. Empty table: empty result. Columns of docs other than the two named are not read. threshold: 50 to 100.
     """
     scratch = Scratch(docs.sparkSession)
     full = scratch.keep(signatures(docs, k, threshold, id_col, text_col), "sig")
     sig = scratch.keep(full.select("doc_id", "n_shingles", "digest"), "docs")
     live = full.where("digest is not null and doc_id is not null")
     one = lambda c: F.first(c).alias(c)  # noqa: E731  equal for equal digests
-    reps = scratch.keep(live.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), one("level"), one("regs"), one("lower")), "reps")
+    classes = live.groupBy("digest").agg(F.min(F.struct("doc_id", "mark")).alias("who"), F.first("n_shingles").alias("n"), one("level"), one("regs"), one("lower"))
+    # A class is named by a number that holds from here on, because it is written; least is its smallest doc_id.
+    reps = scratch.keep(classes.select("digest", F.monotonically_increasing_id().alias("rep"), F.col("who.doc_id").alias("least"), F.col("who.mark").alias("mark"), "n", "level", "regs", "lower"), "reps")
     scratch.drop(full)
     cut = lambda c, at: F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: F.xxhash64(at, j, F.substring(c, j * (2 * BAND) + 1, F.lit(2 * BAND))))
     own, below = cut(F.col("regs"), F.col("level")), cut(F.col("lower"), F.col("level") - 1)
     keys = F.when(F.col("lower").isNull(), own).otherwise(F.concat(own, below))
     # n / (n + 1) under the threshold: sets so small are equal or not linked, and equal ones are one class already.
     rows = reps.where(100 * F.col("n") >= threshold * (F.col("n") + 1)).select("rep", F.explode(keys).alias("key"))
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    # Aggregates that a hot key's rows meet are written first: a join of two plain exchanges is one that skew handling can split.
+    shared = scratch.keep(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "shared")
     members = scratch.keep(rows.join(shared, "key"), "members")
     weights = members.groupBy("rep").agg(F.sum("size").alias("weight"))
-    centers = members.join(weights, "rep").groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("rep"))).alias("c")).select("key", (-F.col("c.rep")).alias("center"))
-    placed = scratch.keep(members.drop("size").join(centers, "key"), "placed")
-    scratch.drop(members)
-    pairs = placed.where("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
+    centers = scratch.keep(members.join(weights, "rep").groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("rep"))).alias("c")).select("key", (-F.col("c.rep")).alias("center")), "centers")
+    pairs = members.join(centers, "key").where("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
     rough = scratch.keep(_estimated(pairs, reps, threshold), "rough")
-    scratch.drop(placed)
-    ids = rough.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    scratch.drop(shared, members, centers)
+    ids = rough.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(reps.select("rep", "least", "mark"), "rep")
     texts = scratch.keep(_packed(docs, ids, id_col, text_col), "texts")
     exact = _verified(rough.where(100 * F.col("hi") >= threshold - 1e-6), texts, k)
     sure, linked = F.col("common") / F.col("whole"), 100 * F.col("common") >= threshold * F.col("whole")
     stars = scratch.keep(rough.join(exact, ["a", "b"], "left").select(F.col("a").alias("center"), F.col("b").alias("rep"), F.coalesce(sure, "lo").alias("lo"), F.coalesce(sure, "hi").alias("hi"), F.coalesce(linked, F.lit(False)).alias("linked")), "stars")
+    scratch.drop(rough)
     roots = scratch.keep(components(stars.where("linked").select(F.col("center").alias("u"), F.col("rep").alias("v")), scratch), "roots")
     # What the stars leave open: members around one centre in different components. The largest component is never paired with itself.
     around = stars.select("center", "rep", "lo", "hi").unionByName(stars.select("center", F.col("center").alias("rep"), F.lit(1.0).alias("lo"), F.lit(1.0).alias("hi")).distinct())
@@ -299,16 +308,27 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: st
     sizes = told.groupBy("center", "root").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("shingles"))
     blocks = lambda count, shingles: F.greatest(F.ceil(count / BLOCK_ROWS), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
     mixed = sizes.groupBy("center").agg(F.max(F.struct("count", "root", "shingles")).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("count").alias("all"), F.sum("shingles").alias("total")).where("parts > 1")
-    mixed = mixed.select("center", F.col("main.root").alias("main"), blocks(F.col("all"), F.col("total")).alias("by"), blocks(F.col("all") - F.col("main.count"), F.col("total") - F.col("main.shingles")).alias("bx"))
-    open_ = told.join(mixed, "center").select("center", "rep", "n", "root", (F.col("root") != F.col("main")).alias("apart"), "bx", "by", "lo", "hi")
-    more = _across(open_, reps, texts, k, threshold).distinct()
+    mixed = scratch.keep(mixed.select("center", F.col("main.root").alias("main"), blocks(F.col("all"), F.col("total")).alias("by"), blocks(F.col("all") - F.col("main.count"), F.col("total") - F.col("main.shingles")).alias("bx")), "mixed")
+    # Few centres are told to everyone, so that a hot one's members need not meet in one task; many are joined, and skew handling splits the hot ones.
+    few = mixed.count() <= FEW_CENTERS
+    open_ = told.join(F.broadcast(mixed) if few else mixed, "center").select("center", "rep", "n", "root", (F.col("root") != F.col("main")).alias("apart"), "bx", "by", "lo", "hi")
+    more = scratch.keep(_across(open_, reps, texts, k, threshold).distinct(), "more")
+    scratch.drop(told, mixed, stars, texts)
+    # The classes of one document's texts belong together.
+    several = sig.where("digest is not null and doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("doc_id")
+    named = sig.where("digest is not null").join(several, "doc_id").select("doc_id", "digest").distinct().join(reps.select("digest", "rep"), "digest").select("doc_id", "rep")
+    same = scratch.keep(named.join(named.groupBy("doc_id").agg(F.min("rep").alias("u")), "doc_id").where("u <> rep").select("u", F.col("rep").alias("v")), "same")
     # The second pass joins whole components, so its graph is over roots.
-    up = more.join(roots.select(F.col("node").alias("u"), F.col("root").alias("ru")), "u", "left").join(roots.select(F.col("node").alias("v"), F.col("root").alias("rv")), "v", "left").select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v"))
+    ties = more.unionByName(same)
+    up = ties.join(roots.select(F.col("node").alias("u"), F.col("root").alias("ru")), "u", "left").join(roots.select(F.col("node").alias("v"), F.col("root").alias("rv")), "v", "left").select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v"))
     tops = components(up, scratch).select(F.col("node").alias("root"), F.col("root").alias("top"))
     known = roots.unionByName(tops.select(F.col("root").alias("node"), "root")).distinct()
-    final = known.join(tops, "root", "left").groupBy("node").agg(F.min(F.coalesce("top", "root")).alias("component"))
-    to = reps.select("digest", "rep").join(final, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    out = sig.join(to, "digest", "left")
+    final = known.join(tops, "root", "left").groupBy("node").agg(F.min(F.coalesce("top", "root")).alias("top"))
+    placed = scratch.keep(reps.select("digest", "rep", "least").join(final, F.col("rep") == F.col("node"), "left").select("digest", "least", F.coalesce("top", "rep").alias("top")), "placed")
+    scratch.drop(reps, roots, more, same)
+    smallest = scratch.keep(placed.groupBy("top").agg(F.min("least").alias("component"), F.count(F.lit(1)).alias("classes")).where("classes > 1"), "smallest")
+    to = placed.join(smallest, "top", "left").select("digest", F.coalesce("component", "least").alias("component"))
+    out = sig.join(scratch.keep(to, "to"), "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 

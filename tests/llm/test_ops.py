@@ -82,6 +82,16 @@ def test_near_duplicates_odd(spark, odd):
     assert near_dup.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_documents_with_several_texts(spark):
+    """Every text of a document is compared, whichever of its documents has the smallest id."""
+    text = lambda c, *other: " ".join([f"{c}{i}" for i in range(60)] + list(other))
+    for first in (1, 5):
+        rows = [(first, text("a")), (first, text("b")), (2, text("a", "x")), (3, text("b", "y")), (4, text("c")), (4, text("c")), (9, text("d")), (7, text("d")), (9, text("e")), (8, text("e"))]
+        got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        low = min(first, 2)
+        assert {(r["doc_id"], r["component_id"]) for r in got} == {(first, low), (2, low), (3, low), (4, 4), (7, 7), (8, 7), (9, 7)} and len(got) == len(rows)
+
+
 def test_estimate_is_close():
     rng = np.random.default_rng(1)
     for n in (40, 3000):
