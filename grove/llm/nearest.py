@@ -2,8 +2,8 @@
 
 A vector's offset from the sample's mean is coded with 16 centres a subspace, so that half a byte a subspace names it. Codes
 and centres minimise the residual error with its part along the vector weighted up, for that part shifts the scores which
-queries near the vector see. A query sums table entries over the codes, two subspaces to a byte, and the best of each block
-of vectors are scored exactly, in double precision, on the original vectors.
+queries near the vector see. A query sums table entries over the codes, two subspaces to a byte. What the sums leave possible,
+given how far each vector's code misses it, is scored exactly, in double precision, on the original vectors.
 """
 
 from __future__ import annotations
@@ -18,11 +18,13 @@ from grove.llm.base import Scratch, table
 #: Dimensions of a subspace, centres of each, and the score threshold T (as a share of the norm) that sets the parallel weight.
 SUBSPACE, CENTRES, THRESHOLD = 2, 16, 0.2
 #: Rows that the fit samples, at most about so many.
-FIT_ROWS = 20_000
-#: Vectors of a block at most, blocks at least, queries that scan a block in one task, queries whose tables are held at once,
-#: and the scan's survivors that are scored exactly: so many per neighbour asked for, and one row in so many of the block
-#: at least, so that large blocks lose no more than small ones. Every block is scanned for every query.
-BLOCK_ROWS, LEAST_BLOCKS, BATCH_QUERIES, SIDE_BY_SIDE, RERANK, ONE_IN = 32_768, 48, 8192, 64, 2, 64
+FIT_ROWS = 8_192
+#: Vectors of a block that is scanned at once, queries whose tables are held at once, and bytes of queries that one pass over
+#: the vectors takes along: it is their only copy that every worker holds.
+BLOCK_ROWS, SIDE_BY_SIDE, PASS_BYTES = 32_768, 64, 32 << 20
+#: Survivors of a block's scan that are scored exactly: this many per neighbour asked for at least, and all whose sum may reach
+#: those neighbours when codes miss by this many standard errors.
+RERANK, SLACK = 2, 1.5
 
 
 def usable(v: Column) -> Column:
@@ -92,25 +94,77 @@ class Index:
             if own.sum() >= SUBSPACE:
                 self.books[s, k] = np.linalg.solve(w[own].sum(0) + 1e-6 * np.eye(SUBSPACE), b[own].sum(0))
 
-    def encode(self, x: np.ndarray) -> np.ndarray:
-        """Codes, two to a byte."""
-        codes = np.concatenate([self._codes(*self._parts(part.astype(np.float32))) for part in np.array_split(x, max(1, len(x) // 4096))])
-        return codes[:, ::2] | (codes[:, 1::2] << 4)
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes, two to a byte, and the length of what each code misses."""
+        packed, missed = [], []
+        for part in np.array_split(x, max(1, len(x) // 4096)):
+            y, u = self._parts(part.astype(np.float32))
+            codes = self._codes(y, u)
+            left = y - np.stack([self.books[s][codes[:, s]] for s in range(y.shape[1])], 1)
+            packed.append(codes[:, ::2] | (codes[:, 1::2] << 4))
+            missed.append(np.sqrt(np.einsum("nsd,nsd->n", left, left)))
+        return np.concatenate(packed), np.concatenate(missed).astype(np.float32)
 
-    def scan(self, q: np.ndarray, packed: np.ndarray) -> np.ndarray:
-        """Sums of table entries in eight-bit steps, codes by queries: they order a query's vectors by approximate product."""
+    def scan(self, q: np.ndarray, packed: np.ndarray) -> tuple[np.ndarray, float]:
+        """Sums of table entries in steps, codes by queries: they order a query's vectors by approximate product. And the step."""
         m = self.books.shape[0]
         wide = np.uint16 if 255 * m < 1 << 16 else np.uint32
         tables = np.einsum("qsd,skd->skq", np.pad(q, ((0, 0), (0, self.pad))).reshape(len(q), m, SUBSPACE), self.books)
         low = tables.min(1, keepdims=True)
-        step = np.maximum((tables - low).max((0, 1)), 1e-12) / 255
+        step = float(np.maximum((tables - low).max(), 1e-12) / 255)
         small = np.round((tables - low) / step).astype(wide)
         total, entry = np.zeros((len(packed), len(q)), wide), np.empty((len(packed), len(q)), wide)
         for j in range(m // 2):
             both = (small[2 * j + 1][:, None] + small[2 * j][None]).reshape(CENTRES * CENTRES, len(q))
             np.take(both, packed[:, j], axis=0, out=entry, mode="clip")
             total += entry
-        return total
+        return total, step
+
+
+class Search:
+    """The k best so far of a batch of queries, over the blocks that it is shown."""
+
+    def __init__(self, index: Index, asks: np.ndarray, k: int):
+        self.index, self.asks, self.k = index, asks, k
+        self.score = np.full((len(asks), k), -np.inf)
+        self.near = np.full((len(asks), k), np.iinfo(np.int64).max)
+        self.exact = 0
+
+    def show(self, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, missed: np.ndarray, own: np.ndarray) -> None:
+        """ids, vectors, codes and misses of a block; own: the queries' ids, whose rows are no candidates."""
+        for begin in range(0, len(self.asks), SIDE_BY_SIDE):
+            q = self.asks[begin : begin + SIDE_BY_SIDE]
+            sums, step = self.index.scan(q, codes)
+            for i in range(len(q)):
+                self._rank(begin + i, q[i], sums[:, i], step, ids, x, missed, own[begin + i])
+
+    def _rank(self, at: int, q: np.ndarray, sums: np.ndarray, step: float, ids: np.ndarray, x: np.ndarray, missed: np.ndarray, own: int) -> None:
+        least = RERANK * self.k + 1
+        if len(ids) > least:
+            # Rounding moves a sum by half a step an entry at most; the error of a code spreads over all directions.
+            reach = (SLACK * np.sqrt(float(q @ q) / len(q)) / step) * missed + np.float32(0.5 * np.sqrt(self.index.books.shape[0]))
+            top, sure = sums + reach, sums - reach
+            floor = np.partition(sure, len(ids) - self.k - 1)[len(ids) - self.k - 1]
+            found = np.flatnonzero(top >= floor)
+            if len(found) < least:
+                found = np.argpartition(top, len(ids) - least)[len(ids) - least :]
+        else:
+            found = np.arange(len(ids))
+        found = found[ids[found] != own]
+        self.exact += len(found)
+        score = np.concatenate([self.score[at], np.einsum("rd,d->r", x[found], q)])
+        near = np.concatenate([self.near[at], ids[found]])
+        if len(score) > 8 * self.k:
+            # Ties with the k-th stay in.
+            keep = score >= np.partition(score, len(score) - self.k)[len(score) - self.k]
+            score, near = score[keep], near[keep]
+        best = np.lexsort((near, -score))[: self.k]
+        self.score[at], self.near[at] = score[best], near[best]
+
+    def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of queries, ids and scores of what was found."""
+        ok = self.score > -np.inf
+        return np.nonzero(ok)[0], self.near[ok], self.score[ok]
 
 
 def matrix(column) -> np.ndarray:
@@ -133,10 +187,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
 
     vectors: vec_id, embedding; queries: the same, rows to search for; a query's own vec_id is no candidate for it.
     Vectors that are null, zero or hold null or non-finite components take no part, nor do those of another length than
-    most. Every other vector is indexed. Of equal vectors only the k + 1 smallest ids can be among a query's k nearest,
-    so only these are scanned. Vectors are dealt into blocks and queries into batches, and a task scans one block for one
-    batch, so that only the best of a block travel on. Rows that repeat a vec_id are candidates of their own; queries that
-    repeat one share a ranking. Null ids take no part. Empty tables: empty result.
+    most, null ids neither. Rows that repeat both id and vector are one. An id with several vectors has several candidates,
+    and as a query one ranking, in which a candidate counts by its best score. Every vector is indexed; of equal ones only
+    the k + 1 smallest ids can be among a query's k nearest, so only these are scanned. Vectors stay where they were
+    written: each pass takes a bounded batch of queries to all of them, and only the k best of every part travel. Empty
+    tables: empty result.
     """
     kind = vectors.schema["embedding"].dataType.simpleString()
     clean = lambda df: df.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("v"))
@@ -145,51 +200,68 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     spark = vectors.sparkSession
     if size is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    # Repeats are counted together before equal vectors meet.
     first = Window.partitionBy("v").orderBy("vec_id")
     scratch = Scratch(spark)
-    base = scratch.keep(base.where(F.size("v") == size["d"]).withColumn("copy", F.row_number().over(first)).where(F.col("copy") <= k + 1).drop("copy"), "vectors")
-    asked = clean(queries).where(F.size("v") == size["d"])
-    n, many = base.count(), asked.count()
-    index = fit_index(base, n)
-    blocks, batches = max(LEAST_BLOCKS, -(-n // BLOCK_ROWS)), max(1, -(-many // BATCH_QUERIES))
+    each = base.where(F.size("v") == size["d"]).groupBy("v", "vec_id").agg(F.count(F.lit(1)).alias("rows"))
+    base = scratch.keep(each.withColumn("copy", F.row_number().over(first)).where(F.col("copy") <= k + 1).select("vec_id", "v"), "vectors")
+    asked = scratch.keep(clean(queries).where(F.size("v") == size["d"]).distinct(), "queries")
+    index = fit_index(base, base.count())
 
     def code(parts):
         for part in parts:
             if part.num_rows:
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([c.tobytes() for c in index.encode(matrix(part.column(1)))], pa.binary())], ["vec_id", "v", "code"])
-
-    of = lambda c, count: F.pmod(F.xxhash64(c, "v", F.lit(11)), F.lit(count)).cast("int")
-    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    coded = base.mapInArrow(code, f"vec_id long, v {kind}, code binary")
-    data = coded.withColumn("block", of("vec_id", blocks)).withColumn("batch", every(batches))
-    asks = asked.withColumn("batch", of("vec_id", batches)).withColumn("block", every(blocks))
-
-    def search(asks: pa.Table, data: pa.Table) -> pa.Table:
-        out = []
-        if asks.num_rows and data.num_rows:
-            data = data.sort_by("vec_id")
-            x, ids, at = matrix(data.column("v")), data.column("vec_id").to_numpy(), np.arange(data.num_rows, dtype=np.uint64)
-            codes = np.frombuffer(b"".join(data.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
-            queries_, own_ids, r = matrix(asks.column("v")), asks.column("vec_id").to_numpy(), min(max(RERANK * k, len(ids) // ONE_IN), len(ids))
-            for begin in range(0, len(own_ids), SIDE_BY_SIDE):
-                q, own = queries_[begin : begin + SIDE_BY_SIDE], own_ids[begin : begin + SIDE_BY_SIDE, None]
-                # Equal sums go to the smaller id; a query's own row comes last.
-                order = (index.scan(q, codes).T.astype(np.uint64) << np.uint64(32)) | at[::-1]
-                order[own == ids] = 0
-                top = np.argpartition(order, len(ids) - r, axis=1)[:, len(ids) - r :]
-                exact = np.einsum("qrd,qd->qr", x[top], q)
-                exact[own == ids[top]] = -np.inf
-                best = np.lexsort((ids[top], -exact), axis=1)[:, :k]
-                rows = np.arange(len(q))[:, None]
-                near = ids[top][rows, best]
-                keep = (near != own).ravel()
-                out.append((np.repeat(own[:, 0], best.shape[1])[keep], near.ravel()[keep], exact[rows, best].ravel()[keep]))
-        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[], [], []]
-        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
-
-    found = asks.groupBy("block", "batch").cogroup(data.groupBy("block", "batch")).applyInArrow(search, "query_id long, vec_id long, score double")
+                codes, missed = index.encode(matrix(part.column(1)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(missed)], ["vec_id", "v", "code", "missed"])
+
+    coded = scratch.keep(base.mapInArrow(code, f"vec_id long, v {kind}, code binary, missed float"), "coded")
+    scratch.drop(base)
+    rows = max(SIDE_BY_SIDE, PASS_BYTES // (8 * size["d"]))
+    passes = max(1, -(-asked.count() // rows))
+    batch_of = F.pmod(F.xxhash64("vec_id", F.lit(11)), F.lit(passes))
+    found = None
+    for n in range(passes):
+        mine = asked.where(batch_of == n).orderBy("vec_id", "v").toArrow()
+        if mine.num_rows:
+            part = scratch.keep(coded.mapInArrow(_scan(index, matrix(mine.column("v")), mine.column("vec_id").to_numpy(), k), "query_id long, vec_id long, score double"), "found")
+            found = part if found is None else found.unionByName(part)
+    if found is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    # A candidate stands once for each pair of its vectors with the query's; of equal rankings from several query vectors the best counts.
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    several = asked.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("vec_id").alias("query_id"))
+    lone = found.join(several, "query_id", "left_anti")
+    merged = found.join(several, "query_id", "left_semi").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return lone.unionByName(merged).withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _scan(index: Index, asks: np.ndarray, own: np.ndarray, k: int):
+    """The pass over a part of the coded vectors, block by block, for one batch of queries."""
+
+    def run(parts):
+        search, held, n = Search(index, asks, k), [], 0
+        most = max(1024, min(BLOCK_ROWS, PASS_BYTES // (8 * asks.shape[1])))
+
+        def flush() -> None:
+            whole = pa.Table.from_batches(held).sort_by("vec_id")
+            codes = np.frombuffer(b"".join(whole.column("code").to_pylist()), np.uint8).reshape(whole.num_rows, -1)
+            search.show(whole.column("vec_id").to_numpy(), matrix(whole.column("v")), codes, whole.column("missed").to_numpy(), own)
+
+        for part in parts:
+            for at in range(0, part.num_rows, most):
+                held.append(part.slice(at, most))
+                n += held[-1].num_rows
+                if n >= most:
+                    flush()
+                    held, n = [], 0
+        if held:
+            flush()
+        place, near, score = search.best()
+        for at in range(0, len(place), 100_000):
+            cut = slice(at, at + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(own[place[cut]], pa.int64()), pa.array(near[cut], pa.int64()), pa.array(score[cut], pa.float64())], ["query_id", "vec_id", "score"])
+
+    return run
 
 
 def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

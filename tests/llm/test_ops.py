@@ -267,6 +267,62 @@ def test_nearest(spark):
     assert nearest.nearest(df.limit(0), df, 20).count() == 0
 
 
+def brute_nearest(rows, asks, k):
+    """query_id -> ranking of (vec_id, score) over the distinct (id, vector) rows."""
+    rows, out = sorted({(i, tuple(v)) for i, v in rows}), {}
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    for own in sorted({i for i, _ in asks}):
+        qs = np.array(sorted({tuple(v) for i, v in asks if i == own}))
+        score = (x @ qs.T).max(1)
+        score[ids == own] = -np.inf
+        best, seen = [], set()
+        for at in np.lexsort((ids, -np.round(score, 9))):
+            if score[at] > -np.inf and (len(qs) == 1 or ids[at] not in seen):
+                seen.add(ids[at])
+                best.append((int(ids[at]), round(float(score[at]), 9)))
+        out[own] = best[:k]
+    return out
+
+
+def test_nearest_of_repeated_rows(spark):
+    """Repeated rows are one, an id with several vectors has one ranking, copies under a query's own id hide no other row."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 8)).round(2)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, x[7].tolist())] * 25 + [(9, x[3].tolist())] * 30 + [(100 + i, x[9].tolist()) for i in range(40)]
+    asks = [r for r in rows if r[0] in (7, 9, 20)]
+    name = "vec_id long, embedding array<double>"
+    got = {}
+    for r in nearest.nearest(spark.createDataFrame(rows, name), spark.createDataFrame(asks, name), 10).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], round(r["score"], 9)))
+    assert got == brute_nearest(rows, asks, 10)
+
+
+@pytest.mark.parametrize("kind", ["clusters", "uneven"])
+def test_nearest_searches_full_blocks(kind):
+    """Blocks of 32,768 rows, where few rows are scored exactly: recall of the quantiser, not of brute force."""
+    rng = np.random.default_rng(5)
+    n = nearest.BLOCK_ROWS
+    x = rng.normal(size=(30, 32))[rng.integers(0, 30, n)] + 0.1 * rng.normal(size=(n, 32)) if kind == "clusters" else rng.normal(size=(n, 32)) * rng.lognormal(0, 0.5, size=(n, 1))
+    index, ids = nearest.Index(x[:4000]), np.arange(n)
+    found = nearest.Search(index, x[:100], 20)
+    found.show(ids, x, *index.encode(x), ids[:100])
+    hit = 0
+    for i in range(100):
+        score = x @ x[i]
+        score[i] = -np.inf
+        hit += len(set(found.near[i].tolist()) & set(np.argsort(-score)[:20].tolist()))
+    assert hit >= 0.97 * 2000 and found.exact < 0.2 * 100 * n
+
+
+def test_nearest_in_several_passes(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(800, 8)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = sorted(tuple(r) for r in nearest.nearest(df, df, 5).collect())
+    monkeypatch.setattr(nearest, "PASS_BYTES", 8 * 8 * 300)
+    assert sorted(tuple(r) for r in nearest.nearest(df, df, 5).collect()) == whole and len(whole) == 4000
+
+
 def test_licences():
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. x"
     assert licences.licences(licences.identifiers(mit)) == ["MIT"]
