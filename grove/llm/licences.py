@@ -22,27 +22,62 @@ SENTENCES = {
     "mit.asis": ["the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"],
     "gpl3.notice": ["this work is licensed under the gnu general public license version 3", "licensed under the gnu general public license version 3", "this program is licensed under the gnu general public license version 3"],
     "gpl.free": ["this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
+    "gpl2.free": ["this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"],
+    "lgpl21.free": ["this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"],
+    "lgpl3.free": ["this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
+    "agpl3.free": ["this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
     "gpl.hope": ["this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"],
+    "lgpl.hope": ["this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"],
     "gpl.copy": ["you should have received a copy of the gnu general public license along with this program"],
     "ccbync4.notice": ["licensed under cc by nc 4 0", "this work is licensed under cc by nc 4 0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"],
     "ccby4.notice": ["licensed under cc by 4 0", "this work is licensed under cc by 4 0", "this work is licensed under a creative commons attribution 4 0 international license"],
+    "ccbysa4.notice": ["licensed under cc by sa 4 0", "this work is licensed under cc by sa 4 0", "this work is licensed under a creative commons attribution sharealike 4 0 international license"],
+    "cc0.notice": ["licensed under cc0 1 0", "this work is dedicated to the public domain under cc0 1 0", "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide"],
+    "mpl2.notice": ["this source code form is subject to the terms of the mozilla public license v", "licensed under the mozilla public license version 2 0", "licensed under the mozilla public license 2 0"],
+    "isc.grant": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"],
+    "isc.notice": ["licensed under the isc license", "released under the isc license"],
+    "unlicense.notice": ["this is free and unencumbered software released into the public domain"],
+    "unlicense.grant": ["anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"],
+    "boost.grant": ["permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following"],
+    "boost.notice": ["distributed under the boost software license version 1 0"],
+    "zlib.asis": ["this software is provided as is without any express or implied warranty"],
+    "zlib.held": ["in no event will the authors be held liable for any damages arising from the use of this software"],
+    "zlib.permit": ["permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"],
+    "epl2.notice": ["this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", "this program and the accompanying materials are made available under the terms of the eclipse public license v"],
     "bsd.permit": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
     "bsd.source": ["redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"],
     "bsd.binary": ["redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"],
     "bsd.endorse": ["neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
 }
-#: Ordered rules: a licence, its consecutive identifiers, and the licences whose weaker rules it replaces.
+#: Ordered rules: a licence and its consecutive identifiers. At each place of a sequence the first rule that fits takes its
+#: identifiers, so longer and stronger rules stand before those that begin alike.
 RULES = [
-    ("Apache-2.0", ["apache2.notice"], []),
-    ("Apache-2.0", ["apache2.compliance", "apache2.copy"], []),
-    ("MIT", ["mit.notice"], []),
-    ("MIT", ["mit.grant", "mit.retain"], []),
-    ("GPL-3.0-only", ["gpl3.notice"], []),
-    ("GPL-3.0-or-later", ["gpl.free", "gpl.hope"], []),
-    ("CC-BY-NC-4.0", ["ccbync4.notice"], []),
-    ("CC-BY-4.0", ["ccby4.notice"], []),
-    ("BSD-2-Clause", ["bsd.permit", "bsd.source", "bsd.binary"], []),
-    ("BSD-3-Clause", ["bsd.permit", "bsd.source", "bsd.binary", "bsd.endorse"], ["BSD-2-Clause"]),
+    ("Apache-2.0", ["apache2.notice", "apache2.compliance", "apache2.copy", "apache2.asis"]),
+    ("Apache-2.0", ["apache2.compliance", "apache2.copy"]),
+    ("Apache-2.0", ["apache2.notice"]),
+    ("MIT", ["mit.notice"]),
+    ("MIT", ["mit.grant", "mit.retain"]),
+    ("GPL-3.0-only", ["gpl3.notice"]),
+    ("GPL-3.0-or-later", ["gpl.free", "gpl.hope"]),
+    ("GPL-2.0-or-later", ["gpl2.free", "gpl.hope"]),
+    ("LGPL-2.1-or-later", ["lgpl21.free", "lgpl.hope"]),
+    ("LGPL-3.0-or-later", ["lgpl3.free", "lgpl.hope"]),
+    ("AGPL-3.0-or-later", ["agpl3.free", "gpl.hope"]),
+    ("CC-BY-NC-4.0", ["ccbync4.notice"]),
+    ("CC-BY-SA-4.0", ["ccbysa4.notice"]),
+    ("CC-BY-4.0", ["ccby4.notice"]),
+    ("CC0-1.0", ["cc0.notice"]),
+    ("MPL-2.0", ["mpl2.notice"]),
+    ("ISC", ["isc.grant"]),
+    ("ISC", ["isc.notice"]),
+    ("Unlicense", ["unlicense.notice", "unlicense.grant"]),
+    ("Unlicense", ["unlicense.notice"]),
+    ("BSL-1.0", ["boost.grant"]),
+    ("BSL-1.0", ["boost.notice"]),
+    ("Zlib", ["zlib.asis", "zlib.held", "zlib.permit"]),
+    ("EPL-2.0", ["epl2.notice"]),
+    ("BSD-3-Clause", ["bsd.permit", "bsd.source", "bsd.binary", "bsd.endorse"]),
+    ("BSD-2-Clause", ["bsd.permit", "bsd.source", "bsd.binary"]),
 ]
 #: Sentences end at a mark with white space behind it and at line ends, so that version numbers stay whole.
 BREAK = "[.!?;:]+[ \t\r\n\f]+|[\r\n]+"
@@ -81,12 +116,18 @@ def identifiers(text: str | None) -> list[str]:
     return out
 
 
+def _line(rule: list[str]) -> str:
+    return "".join(f"|{i}|" for i in rule)
+
+
+_RULE = re.compile("|".join(re.escape(_line(rule)) for _, rule in RULES))
+_NAMED = {_line(rule): name for name, rule in RULES}
+
+
 def licences(found: list[str]) -> list[str]:
-    """The licences whose rules stand in the sequence without a gap, but for those that a stronger rule replaces."""
-    line = "".join(f"|{i}|" for i in found)
-    hit = [(name, over) for name, rule, over in RULES if "".join(f"|{i}|" for i in rule) in line]
-    gone = {x for _, over in hit for x in over}
-    return sorted({name for name, _ in hit} - gone)
+    """The licences of the rules that the sequence is read as: from the left, the first rule in order that fits at a place
+    takes its identifiers, without a gap; an identifier that begins no rule is passed over."""
+    return sorted({_NAMED[hit] for hit in _RULE.findall(_line(found))})
 
 
 def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -110,16 +151,16 @@ def op1_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     values = ", ".join(f"('{s}', '{i}')" for s, i in _KNOWN.items())
-    rules = ", ".join("('{}', '{}', '{}')".format(n, "".join(f"|{i}|" for i in r), ",".join(o)) for n, r, o in RULES)
+    rules = ", ".join(f"('{line}', '{name}')" for line, name in _NAMED.items())
+    either = "|".join("".join(rf"\|{i.replace('.', '[.]')}\|" for i in rule) for _, rule in RULES)
     return rf"""
-WITH known(sentence, id) AS (VALUES {values}), rules(licence, line, over) AS (VALUES {rules}),
+WITH known(sentence, id) AS (VALUES {values}), rules(line, licence) AS (VALUES {rules}),
 cut AS (SELECT doc_id, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || chr(10), '[.!?;:]+[ \t\r\n\f]+|[\r\n]+') AS parts FROM documents),
 each AS (SELECT doc_id, unnest(parts) AS part, unnest(range(len(parts))) AS pos FROM cut),
 found AS (SELECT e.doc_id, e.pos, k.id FROM (SELECT doc_id, pos, trim(regexp_replace(part, '[^a-z0-9]+', ' ', 'g')) AS sentence FROM each) e JOIN known k USING (sentence)),
 line AS (SELECT doc_id, count(*) AS n, string_agg(id, ' ' ORDER BY pos) AS ids, string_agg('|' || id || '|', '' ORDER BY pos) AS line FROM found GROUP BY doc_id),
-hit AS (SELECT DISTINCT l.doc_id, r.licence, r.over FROM line l JOIN rules r ON contains(l.line, r.line)),
-kept AS (SELECT doc_id, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences FROM hit h
-         WHERE NOT EXISTS (SELECT 1 FROM hit o WHERE o.doc_id = h.doc_id AND o.over = h.licence) GROUP BY doc_id)
+hit AS (SELECT doc_id, unnest(regexp_extract_all(line, '{either}')) AS line FROM line),
+kept AS (SELECT doc_id, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences FROM hit JOIN rules USING (line) GROUP BY doc_id)
 SELECT d.doc_id, coalesce(l.n, 0) AS n_sentences, coalesce(l.ids, '') AS sentence_ids, coalesce(k.licences, '') AS licences
 FROM documents d LEFT JOIN line l USING (doc_id) LEFT JOIN kept k USING (doc_id)"""
 
