@@ -74,16 +74,16 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = {
     "op9_chat": r"""
-WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-           UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+WITH t AS (SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () ELSE 0 END AS lone, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, 0, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 0, 1, 'assistant', '</s>[INST] ok [/INST]'),
 p AS (SELECT *, row_number() OVER o AS pos, sum(2 + len(replace(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '[', '&lsqb;')) + 3
-         + len(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '[', '&lsqb;')) + 8) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) AS upto
-      FROM t WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
-q AS (SELECT *, CASE WHEN pos = max(CASE WHEN role = 'assistant' THEN pos END) OVER (PARTITION BY conv_id) THEN max(upto) OVER (PARTITION BY conv_id) WHEN role = 'assistant' THEN upto END AS chars,
-         max(upto) OVER (PARTITION BY conv_id) AS everything FROM p)
+         + len(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '[', '&lsqb;')) + 8) OVER (PARTITION BY conv_id, lone ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) AS upto
+      FROM t WINDOW o AS (PARTITION BY conv_id, lone ORDER BY turn NULLS FIRST, role, text)),
+q AS (SELECT *, CASE WHEN pos = max(CASE WHEN role = 'assistant' THEN pos END) OVER (PARTITION BY conv_id, lone) THEN max(upto) OVER (PARTITION BY conv_id, lone) WHEN role = 'assistant' THEN upto END AS chars,
+         max(upto) OVER (PARTITION BY conv_id, lone) AS everything FROM p)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
        CAST(coalesce(sum(len(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(coalesce(sum(chars), max(everything)) AS BIGINT) AS formatted_chars
-FROM q GROUP BY conv_id""",
+FROM q GROUP BY conv_id, lone""",
 }

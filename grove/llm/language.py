@@ -14,7 +14,7 @@ from grove.llm.base import held_out, slices, table
 #: Bytes of each language's raw-content dictionary, and of each piece of text that is compressed alone.
 DICTIONARY_BYTES, PIECE_BYTES = 64_000, 2048
 #: Training rows a language, at most about so many; code points of each that are looked at, and of the segments they are cut into.
-ROWS_A_LANGUAGE, EXCERPT_BYTES, SEGMENT = 800, 2000, 400
+ROWS_A_LANGUAGE, EXCERPT_CHARS, SEGMENT = 800, 2000, 400
 #: A margin under this share of the second size is narrow; the text is then rejected.
 NARROW = 0.002
 
@@ -30,8 +30,8 @@ def fit_dictionaries(docs: DataFrame, usable: Column, text_col: str = "text", la
     """(language, dictionary) by falling number of training rows.
 
     The sample: from each language the rows whose id's hash falls under rows / (the language's rows), so about `rows` of
-    them, independent of order and partitioning; of a long text a middle excerpt of EXCERPT_BYTES. What comes to the driver
-    is at most (number of languages) * rows * EXCERPT_BYTES. Labelled texts quote other languages: dictionaries of one half
+    them, independent of order and partitioning; of a long text a middle excerpt of EXCERPT_CHARS. What comes to the driver
+    is at most (number of languages) * rows * EXCERPT_CHARS. Labelled texts quote other languages: dictionaries of one half
     of the sample judge the other half's segments, and the final dictionaries hold those that pass.
     """
     known = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
@@ -40,14 +40,15 @@ def fit_dictionaries(docs: DataFrame, usable: Column, text_col: str = "text", la
         return []
     share = F.create_map(*[x for lang, n in counts for x in (F.lit(lang), F.lit(min(1.0, rows / n)))])
     point = F.pmod(F.xxhash64(F.col(id_col), F.lit(3)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    at = F.greatest(F.lit(1), (F.length(text_col) - EXCERPT_BYTES) / 2).cast("int")
-    picked = known.where(point < share[F.col(lang_col)]).select(lang_col, point.alias("p"), id_col, F.substring(F.col(text_col), at, F.lit(EXCERPT_BYTES)))
+    at = F.greatest(F.lit(1), (F.length(text_col) - EXCERPT_CHARS) / 2).cast("int")
+    picked = known.where(point < share[F.col(lang_col)]).select(lang_col, point.alias("p"), id_col, F.substring(F.col(text_col), at, F.lit(EXCERPT_CHARS)))
     got: dict[str, list[list[str]]] = {lang: [] for lang, _ in counts}
     for lang, *_, text in sorted(picked.collect(), key=lambda r: (r[0], r[1], str(r[2]), r[3])):
         plain = letters(text)
         got[lang].append([plain[i : i + SEGMENT] for i in range(0, len(plain), SEGMENT)])
     order = [lang for lang, _ in sorted(counts, key=lambda x: (-x[1], x[0]))]
-    first = [(lang, d) for lang in order if len(d := _joined(got[lang][::2], size)) >= 8]
+    # A language of little text is judged by all of it, one of none is never predicted.
+    first = [(lang, d) for lang in order if len(d := _joined(got[lang][::2], size)) >= 8 or len(d := _joined(got[lang], size)) >= 8]
     judge, out = Compressors(first), []
     for lang, coarse in first:
         clean = [[s for s in segments if judge.identify(s)[0] == lang] for segments in got[lang][1::2]]
@@ -98,21 +99,22 @@ def identify_languages(docs: DataFrame, dictionaries: list[tuple[str, bytes]], n
 
     Whole texts are read, in pieces of bounded size. und, score 0, rejected: null texts and texts without a letter, or
     every text where no dictionary could be fitted. Rows are independent: repeats get equal answers, empty tables none.
-    The three result columns must not clash with columns of docs; name them otherwise where they would.
+    Columns of docs named like one of the three results, in any case, give way to it.
     """
     from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-    schema = StructType([*docs.schema.fields, StructField(lang_col, StringType()), StructField(score_col, DoubleType()), StructField(accept_col, BooleanType())])
-    at = docs.columns.index(text_col)
+    names = [c for c in docs.columns if c.lower() not in {x.lower() for x in (lang_col, score_col, accept_col)}]
+    rows = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").alias("_text_to_identify"))
+    schema = StructType([*[docs.schema[c] for c in names], StructField(lang_col, StringType()), StructField(score_col, DoubleType()), StructField(accept_col, BooleanType())])
 
     def run(batches):
         model = Compressors(dictionaries)
         for batch in slices(batches):
-            found = [model.identify(t) for t in batch.column(at).to_pylist()]
+            found = [model.identify(t) for t in batch.columns[-1].to_pylist()]
             more = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[0] != "und" and f[2] >= narrow for f in found], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, lang_col, score_col, accept_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], [*names, lang_col, score_col, accept_col])
 
-    return docs.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
