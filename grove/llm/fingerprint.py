@@ -11,8 +11,8 @@ from grove.llm.base import table
 BIN_BITS, KEPT_BITS, SHINGLE, PROBES = 7, 8, 5, 6
 BINS = 1 << BIN_BITS
 #: Code points that one group of neighbouring documents should hold; quantiles of the keys that are told apart, and of a
-#: part between two of them.
-GROUP_CHARS, LEAVES, CUTS = 8_000_000, 1024, 255
+#: part between two of them; tasks that sort groups at most.
+GROUP_CHARS, LEAVES, CUTS, MOST_TASKS = 8_000_000, 1024, 255, 1 << 16
 SPACES = r"[\x20\x09-\x0D]+"
 
 
@@ -127,7 +127,7 @@ def with_next(docs: DataFrame, key: str, carried: list[str]) -> DataFrame:
     stops = F.array_compact(F.array(F.struct(F.col("group").alias("g"), F.lit(False).alias("marker")), F.when(F.col("visit").isNotNull(), F.struct(F.col("visit").alias("g"), F.lit(True).alias("marker")))))
     dealt = both.select("doc", "key", "sub", F.explode(stops).alias("stop")).select("doc", "key", "sub", F.col("stop.g").alias("group"), F.col("stop.marker").alias("marker"))
     # A task holds a few groups, whatever the session's number of shuffle partitions is.
-    dealt = dealt.repartition(max(1, total // (4 * GROUP_CHARS), min(total // GROUP_CHARS, 16)), "group")
+    dealt = dealt.repartition(max(1, min(MOST_TASKS, total // GROUP_CHARS)), "group")
     near = Window.partitionBy("group").orderBy("marker", "key", "sub")
     return dealt.select("doc", "marker", F.struct(*[F.lead(F.col(f"doc.{c}")).over(near).alias(f"next_{c}") for c in carried]).alias("next")).where("not marker").select("doc.*", "next.*")
 
