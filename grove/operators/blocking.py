@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from grove.operators.store import written
+
+# The states' names and their postal codes.
+US_STATES = {
+    "alabama": "al", "alaska": "ak", "arizona": "az", "arkansas": "ar", "california": "ca", "colorado": "co", "connecticut": "ct", "delaware": "de", "florida": "fl", "georgia": "ga",
+    "hawaii": "hi", "idaho": "id", "illinois": "il", "indiana": "in", "iowa": "ia", "kansas": "ks", "kentucky": "ky", "louisiana": "la", "maine": "me", "maryland": "md", "massachusetts": "ma",
+    "michigan": "mi", "minnesota": "mn", "mississippi": "ms", "missouri": "mo", "montana": "mt", "nebraska": "ne", "nevada": "nv", "new hampshire": "nh", "new jersey": "nj",
+    "new mexico": "nm", "new york": "ny", "north carolina": "nc", "north dakota": "nd", "ohio": "oh", "oklahoma": "ok", "oregon": "or", "pennsylvania": "pa",
+    "rhode island": "ri", "south carolina": "sc", "south dakota": "sd", "tennessee": "tn", "texas": "tx", "utah": "ut", "vermont": "vt", "virginia": "va", "washington": "wa",
+    "west virginia": "wv", "wisconsin": "wi", "wyoming": "wy", "district of columbia": "dc",
+}
 # Thresholds and address words without meaning.
 MIN_COUNT, MIN_PURITY, EXPAND_COUNT, EXPAND_PURITY = 5, 0.98, 20, 0.95
 ADDR_STOP = "door no unit flat plot suite apt block floor house hno shop office room building bldg near opp".split()
@@ -25,24 +36,30 @@ def aliases_from(pairs: DataFrame, min_count: int, min_purity: float) -> DataFra
 def s1_state(s1: DataFrame) -> DataFrame:
     """entity_id, state: the digit-free component that is most frequent in its country; ties to the later position."""
     parts = s1.select("entity_id", "country", F.posexplode("parts").alias("pos", "part")).where(~F.col("part").rlike("[0-9]"))
-    freq = parts.withColumn("freq", F.count(F.lit(1)).over(Window.partitionBy("country", "part")))
+    freq = parts.join(parts.groupBy("country", "part").agg(F.count(F.lit(1)).alias("freq")), ["country", "part"])
     best = _top(freq, ["entity_id"], [F.desc("freq"), F.desc("pos")]).select("entity_id", F.col("part").alias("state"))
     return s1.select("entity_id").join(best, "entity_id", "left")
 
 
+def us_states(spark: SparkSession) -> DataFrame:
+    """country, part, state: the states' full names and their codes."""
+    return spark.createDataFrame([("US", name, code) for name, code in US_STATES.items()], "country string, part string, state string")
+
+
 def learn_aliases(s1: DataFrame, recs: DataFrame, min_count: int = MIN_COUNT, min_purity: float = MIN_PURITY, expand_count: int = EXPAND_COUNT, expand_purity: float = EXPAND_PURITY, codes: DataFrame | None = None) -> DataFrame:
     """country, part, state from the reference entities' states, then from records that name just one of these.
 
-    codes: country, part, state rows that replace learned ones, for instance states' full names and codes.
+    codes: country, part, state rows that replace learned ones; the states' full names and codes if not given.
     """
-    own = s1.select("entity_id", "country", F.explode(F.array_distinct("parts")).alias("part")).join(s1_state(s1).where("state is not null"), "entity_id")
+    codes = us_states(s1.sparkSession) if codes is None else codes
+    own = s1.select("entity_id", "country", F.explode("parts").alias("part")).join(s1_state(s1).where("state is not null"), "entity_id")
     first = aliases_from(own.select("country", "part", "state"), min_count, min_purity)
-    parts = recs.select("entity_id", "country", F.explode(F.array_distinct("parts")).alias("part"))
+    parts = recs.select("entity_id", "country", F.explode("parts").alias("part"))
     known = parts.join(first, ["country", "part"], "left")
     sure = known.groupBy("entity_id").agg(F.collect_set("state").alias("s")).where(F.size("s") == 1).select("entity_id", F.col("s")[0].alias("vote"))
     votes = known.where("state is null").join(sure, "entity_id").select("country", "part", F.col("vote").alias("state"))
     out = first.unionByName(aliases_from(votes, expand_count, expand_purity).join(first, ["country", "part"], "left_anti"))
-    return out if codes is None else out.join(codes, ["country", "part"], "left_anti").unionByName(codes)
+    return out.join(codes, ["country", "part"], "left_anti").unionByName(codes)
 
 
 def infer_state(df: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -53,38 +70,46 @@ def infer_state(df: DataFrame, aliases: DataFrame) -> DataFrame:
 
 
 def with_keys(df: DataFrame, min_name: int = MIN_NAME) -> DataFrame:
-    """entity_id, kind, key: the exact blocking keys of a normalised table, those that are defined."""
+    """entity_id, kind, key: the exact blocking keys of a normalised table, those that are defined.
+
+    The street word is the first run of three letters or more, also inside a token of letters and digits. A name without
+    words still makes a key with its house number."""
     sep = lambda *x: F.concat_ws("|", *x)
-    streets = F.filter(F.split("addr", " "), lambda w: w.rlike("^[a-z]{3,}$") & ~w.isin(ADDR_STOP))
+    streets = F.filter(F.regexp_extract_all("addr", F.lit("([a-z]{3,})"), 1), lambda w: ~w.isin(ADDR_STOP))
     street, first = F.get(streets, F.lit(0)), F.get(F.split("name_tok", " "), F.lit(0))
     kinds = {
-        "v0": F.when((F.col("hn") != "") & (F.col("name_key") != ""), sep("country", "name_key", "hn")),
+        "v0": F.when(F.col("hn") != "", sep("country", "name_key", "hn")),
         "ns": F.when(F.length("name_ns") >= min_name, sep("country", "name_ns")),
         "hn_street": F.when((F.col("hn") != "") & street.isNotNull(), sep("country", "hn", street)),
-        "name1_hn": F.when((F.col("hn") != "") & (first != ""), sep("country", first, "hn")),
+        "name1_hn": F.when(F.col("hn") != "", sep("country", first, "hn")),
         "namekey": F.when(F.col("name_key") != "", sep("country", "name_key")),
     }
     each = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("key")) for k, v in kinds.items()])
     return df.select("entity_id", F.explode(each).alias("k")).select("entity_id", "k.kind", "k.key").where("key is not null")
 
 
+def _capped(s1: DataFrame, cap: int) -> DataFrame:
+    """s1, kind, key of the keys that at most cap entities have; popular keys are counted before their rows could meet."""
+    ours = with_keys(s1)
+    small = ours.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= cap)
+    return ours.join(small.select("kind", "key"), ["kind", "key"], "left_semi").select(F.col("entity_id").alias("s1"), "kind", "key")
+
+
 def key_candidates(s1: DataFrame, recs: DataFrame, cap: int = CAP) -> DataFrame:
     """s1, rec: pairs that share a key which at most cap reference entities have."""
-    ours = with_keys(s1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("kind", "key"))).where(F.col("n") <= cap)
-    return ours.select(F.col("entity_id").alias("s1"), "kind", "key").join(with_keys(recs).withColumnRenamed("entity_id", "rec"), ["kind", "key"]).select("s1", "rec").distinct()
+    return _capped(s1, cap).join(with_keys(recs).withColumnRenamed("entity_id", "rec"), ["kind", "key"]).select("s1", "rec").distinct()
 
 
 def key_sizes(s1: DataFrame, recs: DataFrame, cap: int = CAP) -> DataFrame:
     """kind, pairs, entities, records that each kind of key brings together."""
-    ours = with_keys(s1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("kind", "key"))).where(F.col("n") <= cap).select("kind", "key", F.col("entity_id").alias("s1"))
-    return ours.join(with_keys(recs).withColumnRenamed("entity_id", "rec"), ["kind", "key"]).groupBy("kind").agg(F.count(F.lit(1)).alias("pairs"), F.countDistinct("s1").alias("entities"), F.countDistinct("rec").alias("records"))
+    return _capped(s1, cap).join(with_keys(recs).withColumnRenamed("entity_id", "rec"), ["kind", "key"]).groupBy("kind").agg(F.count(F.lit(1)).alias("pairs"), F.countDistinct("s1").alias("entities"), F.countDistinct("rec").alias("records"))
 
 
 def rule_matches(s1: DataFrame, recs: DataFrame) -> DataFrame:
     """s1, rec: equal country, name key and house number, where these are unique among the reference entities."""
     keyed = lambda d: d.where("name_key <> '' and hn <> ''").select("entity_id", "country", "name_key", "hn")
-    lone = keyed(s1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("country", "name_key", "hn"))).where("n = 1").drop("n")
-    return lone.withColumnRenamed("entity_id", "s1").join(keyed(recs).withColumnRenamed("entity_id", "rec"), ["country", "name_key", "hn"]).select("s1", "rec")
+    lone = keyed(s1).groupBy("country", "name_key", "hn").agg(F.min("entity_id").alias("s1"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
+    return lone.join(keyed(recs).withColumnRenamed("entity_id", "rec"), ["country", "name_key", "hn"]).select("s1", "rec")
 
 
 def char_terms(text):
@@ -126,19 +151,77 @@ def cosines(ours: DataFrame, theirs: DataFrame, part: list[str]) -> DataFrame:
     return a.join(b, [*part, "term"]).groupBy("s1", "rec").agg(F.sum(F.col("wa") * F.col("wb")).alias("cos")).where(F.col("cos") > FLOOR)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """entity_id and a number (id) that stands for it in joins and groups; written, so that it holds."""
+    return written(df.select("entity_id").distinct().select("entity_id", F.monotonically_increasing_id().alias("id")))
+
+
+def top_cosines(s1: DataFrame, recs: DataFrame, view: str, part: list[str], k: int) -> DataFrame:
+    """s1, rec, cos (six digits): each record's k best entities of its part under one view; ties to the smaller s1.
+
+    Pairs are summed and ranked under numbers; only a record's best, ties with the last of them included, get their ids back.
+    """
+    ours, theirs = tfidf(s1, recs, view, part)
+    a, b = numbered(s1), numbered(recs)
+    short = lambda w, ids: w.join(ids, "entity_id").select(F.xxhash64(*part, "term").alias("t"), "id", "w")
+    ours, theirs = short(ours, a), short(theirs, b)
+    met = ours.select("t", F.col("id").alias("i"), F.col("w").alias("wa")).join(theirs.select("t", F.col("id").alias("j"), F.col("w").alias("wb")), "t")
+    c = met.groupBy("i", "j").agg(F.sum(F.col("wa") * F.col("wb")).alias("raw")).where(F.col("raw") > FLOOR).select("i", "j", F.round("raw", 6).alias("cos"))
+    best = c.withColumn("_r", F.rank().over(Window.partitionBy("j").orderBy(F.desc("cos")))).where(F.col("_r") <= k).drop("_r")
+    named = best.join(a.select(F.col("id").alias("i"), F.col("entity_id").alias("s1")), "i").join(b.select(F.col("id").alias("j"), F.col("entity_id").alias("rec")), "j").select("s1", "rec", "cos")
+    return _top(named, ["rec"], [F.desc("cos"), "s1"], k)
+
+
+def weighted(s1: DataFrame, recs: DataFrame, part: list[str], max_df: float = MAX_DF, min_s1: int = MIN_S1_FOR_PRUNING) -> tuple[DataFrame, DataFrame]:
+    """entity_id, *part, view, term, w, cut of both sides, over the name and the address view.
+
+    w: unit-length weights over a part's whole vocabulary; cut: those over its vocabulary without the terms that more than
+    max_df of its reference entities have (in parts of min_s1 and more), null for these terms.
+    """
+    n = s1.groupBy(*part).agg(F.count(F.lit(1)).alias("n"))
+    both = lambda d: postings(d, "name", part).withColumn("view", F.lit("name")).unionByName(postings(d, "addr", part).withColumn("view", F.lit("addr")))
+    ours = both(s1)
+    known = ours.groupBy(*part, "view", "term").agg(F.count(F.lit(1)).alias("df")).join(n, part)
+    idf = known.select(*part, "view", "term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"), ((F.col("n") < min_s1) | (F.col("df") <= max_df * F.col("n"))).alias("kept"))
+
+    def unit(p: DataFrame) -> DataFrame:
+        raw = p.join(idf, [*part, "view", "term"]).withColumn("x", F.col("tf") * F.col("idf")).withColumn("y", F.when(F.col("kept"), F.col("x")))
+        over = Window.partitionBy("entity_id", "view")
+        return raw.select("entity_id", *part, "view", "term", (F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(over))).alias("w"), (F.col("y") / F.sqrt(F.sum(F.col("y") * F.col("y")).over(over))).alias("cut"))
+
+    return unit(ours), unit(both(recs))
+
+
+def _summed(met: DataFrame, keys: list[str]) -> DataFrame:
+    """cos_name, cos_addr, cos_comb by keys, from rows of view and product."""
+    by = lambda v: F.coalesce(F.sum(F.when(F.col("view") == v, F.col("product"))), F.lit(0.0))
+    return met.groupBy(*keys).agg(by("name").alias("cos_name"), by("addr").alias("cos_addr")).withColumn("cos_comb", W_NAME * F.col("cos_name") + W_ADDR * F.col("cos_addr"))
+
+
+def pair_cosines(pairs: DataFrame, ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """s1, rec, cos_name, cos_addr, cos_comb of just these pairs (s1, rec), over the whole vocabulary; pairs without a common
+    term get zeros. ours, theirs: weighted postings; a pair's terms alone are looked up, never all pairs."""
+    pairs = pairs.select("s1", "rec").distinct()
+    a = ours.select(F.col("entity_id").alias("s1"), "view", "term", F.col("w").alias("wa"))
+    b = theirs.select(F.col("entity_id").alias("rec"), "view", "term", F.col("w").alias("wb"))
+    met = pairs.join(a, "s1").join(b, ["rec", "view", "term"]).select("s1", "rec", "view", (F.col("wa") * F.col("wb")).alias("product"))
+    zeros = pairs.select("s1", "rec", F.lit("name").alias("view"), F.lit(0.0).alias("product"))
+    return _summed(met.unionByName(zeros), ["s1", "rec"])
+
+
 def retrieve(s1: DataFrame, recs: DataFrame, part: list[str], k_name: int = 10, k_comb: int = 20, k_addr: int = 10, keep: int | None = 5) -> DataFrame:
     """s1, rec, cos_name, cos_addr, cos_comb: the union of the best under three views, scored in full, keep of each record.
 
-    Retrieval uses vocabularies without the most frequent terms, scores the full ones; frequent terms cost most and tell least.
+    Retrieval meets pairs over vocabularies without the most frequent terms, in one join and one sum for both views; only
+    the chosen pairs are scored over the whole vocabulary. Ranks go by nine digits, ties to the smaller s1.
     """
-    def both(max_df):
-        name, addr = (cosines(*tfidf(s1, recs, v, part, max_df), part).withColumnRenamed("cos", f"cos_{v}") for v in ("name", "addr"))
-        c = name.join(addr, ["s1", "rec"], "full").fillna(0.0)
-        return c.withColumn("cos_comb", W_NAME * F.col("cos_name") + W_ADDR * F.col("cos_addr"))
-
-    rough = both(MAX_DF)
-    rank = lambda v: F.row_number().over(Window.partitionBy("rec").orderBy(F.desc(v), "s1"))
-    ranked = rough.select("s1", "rec", *[(rank(f"cos_{v}")).alias(f"r_{v}") for v in ("name", "addr", "comb")], "cos_name", "cos_addr")
-    chosen = ranked.where(((F.col("r_name") <= k_name) & (F.col("cos_name") > FLOOR)) | (F.col("r_comb") <= k_comb) | ((F.col("r_addr") <= k_addr) & (F.col("cos_addr") > FLOOR))).select("s1", "rec")
-    full = chosen.join(both(None), ["s1", "rec"])
-    return full if keep is None else _top(full, ["rec"], [F.desc("cos_comb"), "s1"], keep)
+    ours, theirs = (written(x) for x in weighted(s1, recs, part))
+    a = ours.where("cut is not null").select(F.col("entity_id").alias("s1"), *part, "view", "term", F.col("cut").alias("wa"))
+    b = theirs.where("cut is not null").select(F.col("entity_id").alias("rec"), *part, "view", "term", F.col("cut").alias("wb"))
+    rough = _summed(a.join(b, [*part, "view", "term"]).select("s1", "rec", "view", (F.col("wa") * F.col("wb")).alias("product")), ["s1", "rec"])
+    rank = lambda v: F.row_number().over(Window.partitionBy("rec").orderBy(F.desc(F.round(v, 9)), "s1"))
+    depth = {"cos_name": k_name, "cos_comb": k_comb, "cos_addr": k_addr}
+    ranked = rough.select("s1", "rec", *depth, *[rank(v).alias(f"r_{v}") for v in depth])
+    chosen = ranked.where(" or ".join(f"(r_{v} <= {k} and {v} > {FLOOR})" for v, k in depth.items())).select("s1", "rec")
+    full = pair_cosines(chosen, ours, theirs)
+    return full if keep is None else _top(full, ["rec"], [F.desc(F.round("cos_comb", 9)), "s1"], keep)

@@ -41,7 +41,8 @@ def per_entity(pred: DataFrame, truth: DataFrame, s1: DataFrame) -> DataFrame:
 def summary(per: DataFrame) -> DataFrame:
     alone = F.col("n_true") == 0
     ratio = lambda a, b: F.coalesce(F.try_divide(F.sum(a), F.sum(b)), F.lit(0.0))
-    return per.agg(F.avg("f05").alias("f05"), ratio("tp", "n_pred").alias("precision"), ratio("tp", "n_true").alias("recall"), F.count(F.lit(1)).alias("n_s1"), F.sum("n_true").alias("n_true"), F.sum("n_pred").alias("n_pred"), F.avg(alone.cast("double")).alias("singleton_share"), F.avg(F.when(alone, F.col("f05"))).alias("singleton_accuracy"), F.avg(((F.col("tp") == F.col("n_true")) & (F.col("tp") == F.col("n_pred"))).cast("double")).alias("exact_share"))
+    f1 = F.when(alone, (F.col("n_pred") == 0).cast("double")).otherwise(2 * F.col("tp") / (F.col("n_pred") + F.col("n_true")))
+    return per.agg(F.avg("f05").alias("f05"), F.avg(f1).alias("f1"), ratio("tp", "n_pred").alias("precision"), ratio("tp", "n_true").alias("recall"), F.count(F.lit(1)).alias("n_s1"), F.sum("n_true").alias("n_true"), F.sum("n_pred").alias("n_pred"), F.avg(alone.cast("double")).alias("singleton_share"), F.avg(F.when(alone, F.col("f05"))).alias("singleton_accuracy"), F.avg(((F.col("tp") == F.col("n_true")) & (F.col("tp") == F.col("n_pred"))).cast("double")).alias("exact_share"))
 
 
 def candidate_metrics(pairs: DataFrame, truth: DataFrame, s1: DataFrame, n_recs: int) -> DataFrame:
@@ -62,6 +63,15 @@ def threshold_curve(spark: SparkSession, scored: DataFrame, truth: DataFrame, s1
     return d.groupBy("t").agg(F.avg(f).alias("f05"))
 
 
+#: Thresholds that the best one is picked from.
+FINE_GRID = [round(0.05 + 0.025 * i, 3) for i in range(38)]
+
+
+def best_threshold(spark: SparkSession, scored: DataFrame, truth: DataFrame, s1: DataFrame, grid: list[float] = FINE_GRID) -> DataFrame:
+    """One row, t and f05: the threshold of highest macro F0.5 (nine digits), ties to the smallest."""
+    return threshold_curve(spark, scored, truth, s1, grid).orderBy(F.desc(F.round("f05", 9)), "t").limit(1)
+
+
 def outcomes(per: DataFrame) -> DataFrame:
     """per_entity's rows with outcome: how an entity's matches compare with the truth."""
     alone, none = F.col("n_true") == 0, F.col("n_pred") == 0
@@ -92,6 +102,16 @@ def rescaled(scored: DataFrame, a: float) -> DataFrame:
     return scored.withColumn("p", a * F.col("p") / (a * F.col("p") + 1 - F.col("p")))
 
 
+def record_slices(pred: DataFrame, truth: DataFrame, of: DataFrame) -> DataFrame:
+    """slice, n_true, n_pred, tp, precision, recall of the records of each slice. of: rec, slice, for instance a record's
+    source or its script. Empty denominators give 0."""
+    n = lambda d, c: d.select("s1", "rec").distinct().join(of, "rec").groupBy("slice").agg(F.count(F.lit(1)).alias(c))
+    hit = pred.select("s1", "rec").distinct().join(truth.select("s1", "rec").distinct(), ["s1", "rec"])
+    d = of.select("slice").distinct().join(n(truth, "n_true"), "slice", "left").join(n(pred, "n_pred"), "slice", "left").join(n(hit, "tp"), "slice", "left").fillna(0)
+    share = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
+    return d.select("slice", "n_true", "n_pred", "tp", share("tp", "n_pred").alias("precision"), share("tp", "n_true").alias("recall"))
+
+
 def slices(pred: DataFrame, truth: DataFrame, s1: DataFrame, country: DataFrame) -> DataFrame:
     """country, n_s1, f05 and recall of each country's entities. country: s1, country."""
     return per_entity(pred, truth, s1).join(country, "s1").groupBy("country").agg(F.count(F.lit(1)).alias("n_s1"), F.avg("f05").alias("f05"), F.coalesce(F.try_divide(F.sum("tp"), F.sum("n_true")), F.lit(0.0)).alias("recall"))

@@ -29,7 +29,7 @@ def sides(pairs: DataFrame, s1: DataFrame, recs: DataFrame, columns: list[str])
 
 
 def pair_features(pairs: DataFrame, s1: DataFrame, recs: DataFrame) -> DataFrame:
-    """s1, rec and the pair's own features; string similarities are computed once a different pair of strings would be by Spark's cache of the worker."""
+    """s1, rec and the pair's own features, with the ranks of its score among the record's and the entity's candidates."""
     d = sides(pairs, s1, recs, ["name_tok", "name_ns", "name_key", "addr", "hn", "nums", "nonlatin", "empty_addr"])
     both = lambda f, c: f(F.col(f"{c}_1"), F.col(f"{c}_2"))
     shared, union = F.size(F.array_intersect("nums_1", "nums_2")), F.size(F.array_union("nums_1", "nums_2"))
@@ -90,11 +90,17 @@ def generic_tokens(s1: DataFrame, share: float = GENERIC_SHARE) -> DataFrame:
 
 
 def generic_features(pairs: DataFrame, s1: DataFrame, recs: DataFrame, generic: DataFrame) -> DataFrame:
-    """How many extra and missing tokens are generic words of the entity's country and how many are not; whether the rare ones agree."""
-    vocab = generic.groupBy("country").agg(F.collect_set("tok").alias("g"))
-    d = sides(pairs, s1, recs, ["name_tok", "country"]).join(vocab.withColumnRenamed("country", "country_1"), "country_1", "left").withColumn("g", F.coalesce("g", F.array().cast("array<string>")))
+    """How many extra and missing tokens are generic words of the entity's country and how many are not; whether the rare ones agree.
+
+    Generic words are found by (country, word) once for each name and country, never as a vocabulary on every pair. A record
+    is judged with its entity's country. pairs: s1, rec, once each."""
     toks = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda w: w != ""))
-    d = d.withColumn("a", toks("name_tok_1")).withColumn("b", toks("name_tok_2"))
+    d = sides(pairs, s1, recs, ["name_tok", "country"]).withColumn("a", toks("name_tok_1")).withColumn("b", toks("name_tok_2"))
+    names = d.select(F.col("country_1").alias("country"), F.explode(F.array("name_tok_1", "name_tok_2")).alias("name")).distinct()
+    words = names.select("country", "name", F.explode(toks("name")).alias("tok")).join(generic, ["country", "tok"]).groupBy("country", "name").agg(F.collect_set("tok").alias("g"))
+    side = lambda n: words.select(F.col("country").alias("country_1"), F.col("name").alias(f"name_tok_{n}"), F.col("g").alias(f"g{n}"))
+    none = F.array().cast("array<string>")
+    d = d.join(side(1), ["country_1", "name_tok_1"], "left").join(side(2), ["country_1", "name_tok_2"], "left").withColumn("g", F.array_union(F.coalesce("g1", none), F.coalesce("g2", none)))
     extra, miss = F.array_except("b", "a"), F.array_except("a", "b")
     count = lambda x, generic: F.size(F.array_intersect(x, "g") if generic else F.array_except(x, "g"))
     core = lambda c: F.array_sort(F.array_except(c, "g"))
@@ -116,6 +122,15 @@ def raw_features(pairs: DataFrame, raw1: DataFrame, raw2: DataFrame) -> DataFram
     return d.select(*pairs.columns, sim.ratio("raw_1", "raw_2").alias("raw_ratio"), sim.token_sort("raw_1", "raw_2").alias("raw_tsort"), (F.col("raw_1") == F.col("raw_2")).cast("int").alias("raw_eq"), (F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))).alias("raw_small_diff"))
 
 
+def canonical_features(pairs: DataFrame, canon1: DataFrame, canon2: DataFrame) -> DataFrame:
+    """ca_tset, ca_sort, ca_jacc of canonical addresses, from (entity_id, canon) of both sides; empty ones have no words."""
+    d = sides(pairs, canon1, canon2, ["canon"])
+    words = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda w: w != ""))
+    a, b = words("canon_1"), words("canon_2")
+    jaccard = F.size(F.array_intersect(a, b)) / F.greatest(F.size(F.array_union(a, b)), F.lit(1))
+    return d.select(*pairs.columns, sim.token_set("canon_1", "canon_2").alias("ca_tset"), sim.token_sort("canon_1", "canon_2").alias("ca_sort"), jaccard.alias("ca_jacc"))
+
+
 def token_df(s1: DataFrame) -> DataFrame:
     """country, tok, df: in how many of a country's reference names a token stands."""
     return s1.select("country", F.explode(F.array_distinct(F.filter(F.split("name_tok", " "), lambda w: w != ""))).alias("tok")).groupBy("country", "tok").agg(F.count(F.lit(1)).alias("df"))

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from grove.functions import similarity
-from grove.functions.text import learn_token_map, legal_form, normalize, raw_name
+from grove.functions import address, similarity
+from grove.functions.text import NOISE, learn_token_map, legal_form, normalize, raw_name
 from grove.operators import blocking, collective, decisions, features
 from grove.plans import resolve as plan
 from grove.sources import records
@@ -51,17 +51,17 @@ def all_s1(spark: SparkSession, d: str) -> DataFrame:
 
 ENTS = """ents AS (SELECT ['S1-','S2-','S3-'][CAST(p_partkey % 3 + 1 AS INT)] || p_partkey AS entity_id, p_name || ' ' || ['Inc.','LLC','','',''][CAST(p_partkey % 5 + 1 AS INT)] AS business_name,
   p_size || ' ' || p_name || ' St, ' || p_type || ', state ' || ['A','B','C','D','E'][CAST((p_partkey // 7) % 5 + 1 AS INT)] AS business_address, CASE WHEN p_size <= 25 THEN 'US' ELSE 'India' END AS country FROM part)"""
-LISTED = "['llc','inc','incorporated','corp','corporation','co','company','ltd','limited','pvt','private','llp','lp','pc','plc','pllc','sarl','sas','sasu','eurl','sci','sa','and','the','of']"
+LISTED = str(NOISE)
 CLEAN = "trim(regexp_replace(replace(lower({}), '.', ''), '[^a-z0-9]+', ' ', 'g'))"
 NORM = f"""{ENTS},
-n0 AS (SELECT *, list_filter(string_split({CLEAN.format('business_name')}, ' '), lambda w: w <> '' AND NOT list_contains({LISTED}, w)) AS toks, {CLEAN.format('business_address')} AS addr,
+n0 AS (SELECT *, list_transform(regexp_extract_all(business_address, '[0-9]+'), lambda x: coalesce(nullif(ltrim(x, '0'), ''), '0')) AS ns, list_filter(string_split({CLEAN.format('business_name')}, ' '), lambda w: w <> '' AND NOT list_contains({LISTED}, w)) AS toks, {CLEAN.format('business_address')} AS addr,
   list_filter(list_transform(string_split(business_address, ','), lambda p: {CLEAN.format('p')}), lambda p: p <> '') AS parts, regexp_extract(business_address, '([0-9]+)', 1) AS hn0 FROM ents),
-norm AS (SELECT entity_id, country, array_to_string(toks, ' ') AS name_tok, addr, parts, array_to_string(list_sort(list_distinct(toks)), ' ') AS name_key, array_to_string(toks, '') AS name_ns,
+norm AS (SELECT entity_id, country, array_to_string(list_filter(ns, lambda x, i: list_position(ns, x) = i), ';') AS nums, regexp_matches(business_name || ' ' || business_address, '[^\\x00-\\x{{24F}}]') AS nonlatin, trim(business_address) = '' AS empty_addr, array_to_string(toks, ' ') AS name_tok, addr, parts, array_to_string(list_sort(list_distinct(toks)), ' ') AS name_key, array_to_string(toks, '') AS name_ns,
   CASE WHEN hn0 = '' THEN '' ELSE coalesce(nullif(ltrim(hn0, '0'), ''), '0') END AS hn FROM n0),
 s1n AS (SELECT * FROM norm WHERE starts_with(entity_id, 'S1-')), recn AS (SELECT * FROM norm WHERE NOT starts_with(entity_id, 'S1-'))"""
-KEYS = """keys AS (SELECT entity_id, unnest(['v0','ns','hn_street','name1_hn','namekey']) AS kind, unnest([CASE WHEN hn <> '' AND name_key <> '' THEN country||'|'||name_key||'|'||hn END, CASE WHEN len(name_ns) >= 4 THEN country||'|'||name_ns END,
-  CASE WHEN hn <> '' AND street IS NOT NULL THEN country||'|'||hn||'|'||street END, CASE WHEN hn <> '' AND name_tok <> '' THEN country||'|'||string_split(name_tok,' ')[1]||'|'||hn END, CASE WHEN name_key <> '' THEN country||'|'||name_key END]) AS key
-  FROM (SELECT *, list_filter(string_split(addr,' '), lambda w: regexp_full_match(w, '[a-z]{3,}') AND NOT list_contains(['door','no','unit','flat','plot','suite','apt','block','floor','house','hno','shop','office','room','building','bldg','near','opp'], w))[1] AS street FROM norm)),
+KEYS = f"""keys AS (SELECT entity_id, unnest(['v0','ns','hn_street','name1_hn','namekey']) AS kind, unnest([CASE WHEN hn <> '' THEN country||'|'||name_key||'|'||hn END, CASE WHEN len(name_ns) >= 4 THEN country||'|'||name_ns END,
+  CASE WHEN hn <> '' AND street IS NOT NULL THEN country||'|'||hn||'|'||street END, CASE WHEN hn <> '' THEN country||'|'||string_split(name_tok,' ')[1]||'|'||hn END, CASE WHEN name_key <> '' THEN country||'|'||name_key END]) AS key
+  FROM (SELECT *, list_filter(regexp_extract_all(addr, '[a-z]{{3,}}'), lambda w: NOT list_contains({blocking.ADDR_STOP}, w))[1] AS street FROM norm)),
 k AS (SELECT * FROM keys WHERE key IS NOT NULL)"""
 SCORED = """scored AS (SELECT 'S1-'||l_partkey AS s1, CASE WHEN l_orderkey % 2 = 1 THEN 'S3-' ELSE 'S2-' END||l_orderkey AS rec, avg(l_quantity)/51 AS p, avg(l_discount) AS x, avg(l_tax) AS y FROM lineitem GROUP BY ALL),
 truth AS (SELECT 'S1-'||min(l_partkey) AS s1, CASE WHEN l_orderkey % 2 = 1 THEN 'S3-' ELSE 'S2-' END||l_orderkey AS rec FROM lineitem WHERE l_orderkey % 3 <> 0 GROUP BY l_orderkey),
@@ -80,7 +80,7 @@ def _rounded(df: DataFrame, *cols: str, n: int = 6) -> DataFrame:
 
 
 def norm_fields(s, d):
-    return normalize(ents(s, d)).select("entity_id", "name_tok", "name_key", "name_ns", "addr", "hn", F.array_join("parts", ";").alias("parts"))
+    return normalize(ents(s, d)).select("entity_id", "name_tok", "name_key", "name_ns", "addr", "hn", F.array_join("parts", ";").alias("parts"), F.array_join("nums", ";").alias("nums"), "nonlatin", "empty_addr")
 
 
 def rule_matches(s, d):
@@ -93,7 +93,7 @@ def key_candidates(s, d):
 
 def aliases(s, d):
     a, _ = sides(s, d)
-    parts = a.select("entity_id", "country", F.explode(F.array_distinct("parts")).alias("part")).join(blocking.s1_state(a), "entity_id")
+    parts = a.select("entity_id", "country", F.explode("parts").alias("part")).join(blocking.s1_state(a), "entity_id")
     return blocking.aliases_from(parts.select("country", "part", "state"), 2, 0.6)
 
 
@@ -106,13 +106,11 @@ def infer_state(s, d):
 
 
 def tfidf_name_topk(s, d):
-    a, b = sides(s, d)
-    c = blocking.cosines(*blocking.tfidf(a, b, "name", ["country"]), ["country"]).withColumn("cos", F.round("cos", 6))
-    return blocking._top(c, ["rec"], [F.desc("cos"), "s1"], 3)
+    return blocking.top_cosines(*sides(s, d), "name", ["country"], 3)
 
 
 def tfidf_candidates(s, d):
-    return blocking.retrieve(*sides(s, d), ["country"])
+    return _rounded(blocking.retrieve(*sides(s, d), ["country"]), "cos_name", "cos_addr", "cos_comb")
 
 
 def pair_features(s, d):
@@ -172,7 +170,7 @@ def eval_per_entity(s, d):
 
 
 def eval_summary(s, d):
-    return _rounded(decisions.summary(eval_per_entity(s, d)), "f05", "precision", "recall", "singleton_share", "singleton_accuracy", "exact_share")
+    return _rounded(decisions.summary(eval_per_entity(s, d)), "f05", "precision", "recall", "singleton_share", "singleton_accuracy", "exact_share", "f1")
 
 
 def candidate_metrics(s, d):
@@ -200,8 +198,8 @@ def source_stats(s, d):
 
 def validation_issues(s, d):
     e = ents(s, d)
-    lists = id_lists(s, d)
-    return records.validate(lists.where("source1_entity_id <> 'S1-1'"), lists, e.where(F.col("entity_id").startswith("S1-")), e.where(~F.col("entity_id").startswith("S1-")))
+    lists, candidates = records.result_tables(all_s1(s, d), truth(s, d), truth(s, d))
+    return records.validate(lists.where("source1_entity_id <> 'S1-3'"), candidates, e.where(F.col("entity_id").startswith("S1-")), e.where(~F.col("entity_id").startswith("S1-")))
 
 
 def vote_patterns(s, d):
@@ -269,7 +267,8 @@ def group_gains(s, d):
 
 
 def token_map(s, d):
-    return learn_token_map(table(s, d, "part").select(F.split("p_name", " ").alias("rec"), F.split("p_type", " ").alias("s1")), 3, 0.3)
+    words = F.split("p_name", " ")
+    return learn_token_map(table(s, d, "part").select(words.alias("rec"), F.when(F.col("p_partkey") % 5 < 4, F.transform(words, F.upper)).otherwise(F.split("p_type", " ")).alias("s1")))
 
 
 def key_sizes(s, d):
@@ -288,23 +287,87 @@ def odds_rescaled(s, d):
     return _rounded(decisions.rescaled(exclusive(s, d), 0.5), "p")
 
 
+def best_threshold(s, d):
+    return _rounded(decisions.best_threshold(s, exclusive(s, d), truth(s, d), all_s1(s, d)), "f05")
+
+
+def source_slices(s, d):
+    of = scored(s, d).select("rec", F.substring("rec", 1, 2).alias("slice")).distinct()
+    return _rounded(decisions.record_slices(exclusive(s, d), truth(s, d), of), "precision", "recall")
+
+
+def canonical_addresses(s, d):
+    return address.canonical_addresses(normalize(ents(s, d)))
+
+
+def canonical_features(s, d):
+    a, b = sides(s, d)
+    return features.canonical_features(blocking.key_candidates(a, b), address.canonical_addresses(a), address.canonical_addresses(b))
+
+
+def raw_similarities(s, d):
+    return features.raw_features(key_candidates(s, d), *_named(s, d, raw=raw_name))
+
+
+def vocab_alignment(s, d):
+    a, b = sides(s, d)
+    return features.vocab_features(blocking.key_candidates(a, b), a, b, features.token_df(a), features.generic_tokens(a))
+
+
+def generic_core(s, d):
+    a, b = sides(s, d)
+    return features.generic_features(blocking.key_candidates(a, b), a, b, features.generic_tokens(a))
+
+
 def slice_metrics(s, d):
     return _rounded(decisions.slices(exclusive(s, d), truth(s, d), all_s1(s, d), country_of(s, d)), "f05", "recall")
 
 
-_ALL = [legal_features, raw_features, vocab_counts, group_gains, token_map, key_sizes, entity_outcomes, country_thresholds, odds_rescaled, slice_metrics, norm_fields, rule_matches, key_candidates, aliases, s1_state, infer_state, tfidf_name_topk, tfidf_candidates, pair_features, competition_features, diff_features, generic_features, string_distances, string_ratios, twin_components, collective_features, exclusive, expected_f_decode, threshold_decode, eval_per_entity, eval_summary, candidate_metrics, threshold_curve, id_lists, truth_explode, source_stats, validation_issues, vote_patterns, null_safe_join, semi_anti, top_per_group, page, resolve]
+_ALL = [best_threshold, source_slices, canonical_addresses, canonical_features, raw_similarities, vocab_alignment, generic_core, legal_features, raw_features, vocab_counts, group_gains, token_map, key_sizes, entity_outcomes, country_thresholds, odds_rescaled, slice_metrics, norm_fields, rule_matches, key_candidates, aliases, s1_state, infer_state, tfidf_name_topk, tfidf_candidates, pair_features, competition_features, diff_features, generic_features, string_distances, string_ratios, twin_components, collective_features, exclusive, expected_f_decode, threshold_decode, eval_per_entity, eval_summary, candidate_metrics, threshold_curve, id_lists, truth_explode, source_stats, validation_issues, vote_patterns, null_safe_join, semi_anti, top_per_group, page, resolve]
 QUERIES = {f.__name__: f for f in _ALL}
 
 _KC = f"WITH {NORM}, {KEYS}, kc AS (SELECT DISTINCT a.entity_id AS s1, b.entity_id AS rec FROM (SELECT *, count(*) OVER (PARTITION BY kind, key) AS n FROM k WHERE starts_with(entity_id,'S1-')) a JOIN k b USING (kind, key) WHERE a.n <= {blocking.CAP} AND NOT starts_with(b.entity_id,'S1-'))"
 _STATE = """st AS (SELECT entity_id, country, part AS state FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY freq DESC, pos DESC) AS rn FROM (SELECT *, count(*) OVER (PARTITION BY country, part) AS freq FROM
   (SELECT entity_id, country, unnest(parts) AS part, unnest(range(len(parts))) AS pos FROM s1n) WHERE NOT regexp_matches(part,'[0-9]'))) WHERE rn = 1),
-an AS (SELECT p.country, p.part, st.state, count(*) AS n FROM (SELECT DISTINCT entity_id, country, unnest(parts) AS part FROM s1n) p LEFT JOIN st ON st.entity_id = p.entity_id GROUP BY 1, 2, 3),
+an AS (SELECT p.country, p.part, st.state, count(*) AS n FROM (SELECT entity_id, country, unnest(parts) AS part FROM s1n) p LEFT JOIN st ON st.entity_id = p.entity_id GROUP BY 1, 2, 3),
 al AS (SELECT country, part, state FROM (SELECT *, n / sum(n) OVER (PARTITION BY country, part) AS share FROM an) WHERE n >= 2 AND share >= 0.6)"""
 _CANON = "CASE w WHEN 'incorporated' THEN 'inc' WHEN 'corporation' THEN 'corp' WHEN 'company' THEN 'co' WHEN 'limited' THEN 'ltd' WHEN 'private' THEN 'pvt' ELSE w END"
 _TOKS = "list_distinct(list_filter(string_split({}.name_tok,' '), lambda w: w <> ''))"
 _SMALL = """list_distinct(list_filter(string_split(regexp_replace({}, '([&+])', ' \\1 ', 'g'), ' '), lambda w: list_contains(['&','and','the','of','+','-',chr(39)||'s'], w)))"""
+_CURVE = """g AS (SELECT unnest({}::DOUBLE[]) AS t), b AS (SELECT i.s1, g.t, coalesce(x.n,0) AS n_true FROM ids i CROSS JOIN g LEFT JOIN (SELECT s1,count(*) n FROM truth GROUP BY 1) x USING (s1)),
+q AS (SELECT e.s1, g.t, count(*) AS n_pred, count(h.rec) AS tp FROM excl e JOIN g ON g.t <= e.p LEFT JOIN truth h ON h.s1 = e.s1 AND h.rec = e.rec GROUP BY ALL),
+curve AS (SELECT t, avg(CASE WHEN n_true=0 THEN CASE WHEN coalesce(n_pred,0)=0 THEN 1.0 ELSE 0.0 END ELSE 1.25*coalesce(tp,0)/(coalesce(n_pred,0)+0.25*n_true) END) AS f FROM b LEFT JOIN q USING (s1, t) GROUP BY t)"""
+_MAP = lambda words: "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in address.flat(words).items()) + "}"
+_LISTS = """lists AS (SELECT i.s1, t.rec FROM ids i LEFT JOIN truth t USING (s1)), e1 AS (SELECT entity_id FROM ents WHERE starts_with(entity_id,'S1-')), er AS (SELECT entity_id FROM ents WHERE NOT starts_with(entity_id,'S1-')),
+tabs AS (SELECT 'matching_results' AS label, * FROM lists WHERE s1 <> 'S1-3' UNION ALL SELECT 'candidate_pairs', * FROM lists), labels AS (SELECT DISTINCT label FROM tabs)"""
+_WEIGHTS = """w AS (SELECT entity_id, country, ' '||unnest(list_filter(string_split(name_tok,' '), lambda x: x <> ''))||' ' AS w FROM norm), ws AS (SELECT entity_id, country, list_filter(string_split(addr,' '), lambda x: len(x) >= 2) AS ws FROM norm),
+g AS (SELECT entity_id, country, 'name' AS view, substr(w, CAST(unnest(range(1, greatest(2, len(w)-1))) AS BIGINT), 3) AS term FROM w UNION ALL SELECT entity_id, country, 'addr', unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i]||' '||ws[i+1]))) FROM ws),
+tf AS (SELECT entity_id, country, view, term, 1+ln(count(*)) AS tf FROM g GROUP BY ALL), df AS (SELECT country, view, term, count(*) AS df FROM tf WHERE starts_with(entity_id,'S1-') GROUP BY ALL), nn AS (SELECT country, count(*) AS n FROM s1n GROUP BY 1),
+x AS (SELECT entity_id, country, view, term, tf*(ln((1+n)/(1+df))+1) AS x, CASE WHEN n < 1000 OR df <= 0.05*n THEN tf*(ln((1+n)/(1+df))+1) END AS y FROM tf JOIN df USING (country, view, term) JOIN nn USING (country)),
+v AS (SELECT entity_id, country, view, term, x/sqrt(sum(x*x) OVER o) AS w, y/sqrt(sum(y*y) OVER o) AS cut FROM x WINDOW o AS (PARTITION BY entity_id, view)),
+a AS (SELECT entity_id AS s1, country, view, term, w AS wa, cut AS ca FROM v WHERE starts_with(entity_id,'S1-')), b AS (SELECT entity_id AS rec, country, view, term, w AS wb, cut AS cb FROM v WHERE NOT starts_with(entity_id,'S1-'))"""
+_COS = "coalesce(sum({0}) FILTER (view='name'), 0) AS cos_name, coalesce(sum({0}) FILTER (view='addr'), 0) AS cos_addr"
 _COUNTRY = "ctry AS (SELECT 'S1-'||p_partkey AS s1, CASE WHEN p_size <= 25 THEN 'US' ELSE 'India' END AS country FROM part)"
 SQL = {
+    "best_threshold": f"WITH {SCORED}, {EXCL}, {_CURVE.format(decisions.FINE_GRID)} SELECT t, round(f,6) AS f05 FROM curve ORDER BY round(f,9) DESC, t LIMIT 1",
+    "source_slices": f"""WITH {SCORED}, {EXCL}, s AS (SELECT DISTINCT substr(rec,1,2) AS slice FROM scored), t AS (SELECT substr(rec,1,2) AS slice, count(*) AS n_true FROM truth WHERE rec IN (SELECT rec FROM scored) GROUP BY 1), q AS (SELECT substr(rec,1,2) AS slice, count(*) AS n_pred FROM excl GROUP BY 1),
+h AS (SELECT substr(rec,1,2) AS slice, count(*) AS tp FROM excl JOIN truth USING (s1, rec) GROUP BY 1) SELECT slice, coalesce(n_true,0) AS n_true, coalesce(n_pred,0) AS n_pred, coalesce(tp,0) AS tp, round(coalesce(tp/nullif(n_pred,0),0),6) AS precision, round(coalesce(tp/nullif(n_true,0),0),6) AS recall FROM s LEFT JOIN t USING (slice) LEFT JOIN q USING (slice) LEFT JOIN h USING (slice)""",
+    "canonical_addresses": f"""WITH {NORM}, c AS (SELECT entity_id, country, list_transform(parts, lambda p: coalesce({_MAP(address.STATES)}[country||'|'||p], p)) AS parts FROM norm),
+k AS (SELECT entity_id, list_transform(flatten(list_transform(parts, lambda p: string_split(p, ' '))), lambda w: coalesce({_MAP(address.STREET)}[country||'|'||w], w)) AS words FROM c) SELECT entity_id, array_to_string(list_filter(words, lambda w: w <> ''), ' ') AS canon FROM k""",
+    "tfidf_candidates": f"""WITH {NORM}, {_WEIGHTS}, rough AS (SELECT s1, rec, {_COS.format('ca*cb')} FROM a JOIN b USING (country, view, term) WHERE ca IS NOT NULL AND cb IS NOT NULL GROUP BY s1, rec),
+r AS (SELECT *, 0.6*cos_name+0.4*cos_addr AS cos_comb FROM rough), k AS (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY round(cos_name,9) DESC, s1) AS rn, row_number() OVER (PARTITION BY rec ORDER BY round(cos_comb,9) DESC, s1) AS rc, row_number() OVER (PARTITION BY rec ORDER BY round(cos_addr,9) DESC, s1) AS ra FROM r),
+chosen AS (SELECT s1, rec FROM k WHERE (rn <= 10 AND cos_name > 1e-6) OR (rc <= 20 AND cos_comb > 1e-6) OR (ra <= 10 AND cos_addr > 1e-6)),
+f AS (SELECT s1, rec, {_COS.format('wa*wb')} FROM chosen JOIN a USING (s1) JOIN b USING (rec, country, view, term) GROUP BY s1, rec), e AS (SELECT *, 0.6*cos_name+0.4*cos_addr AS cos_comb FROM f)
+SELECT s1, rec, round(cos_name,6) AS cos_name, round(cos_addr,6) AS cos_addr, round(cos_comb,6) AS cos_comb FROM e QUALIFY row_number() OVER (PARTITION BY rec ORDER BY round(cos_comb,9) DESC, s1) <= 5""",
+    "collective_features": f"""WITH {SCORED}, c AS (SELECT s1, rec, round(p,6) AS p1 FROM scored), d AS (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY p1 DESC, s1) AS p1_rank_rec, sum(p1) OVER (PARTITION BY rec) AS p1_sum_rec, row_number() OVER (PARTITION BY s1 ORDER BY p1 DESC, rec) AS rank_among_claimants FROM c),
+e AS (SELECT *, CASE WHEN p1_rank_rec=1 AND p1>=0.5 THEN 1 ELSE 0 END AS claim, max(CASE WHEN p1_rank_rec=2 THEN p1 END) OVER (PARTITION BY rec) AS second, max(p1) OVER (PARTITION BY s1) AS top, max(CASE WHEN rank_among_claimants=2 THEN p1 END) OVER (PARTITION BY s1) AS runner FROM d),
+comp AS (SELECT CASE WHEN o_orderkey%2=1 THEN 'S3-' ELSE 'S2-' END||o_orderkey AS rec, 'C'||(o_orderkey%1000) AS comp FROM orders), best AS (SELECT comp, rec AS twin, s1 AS twin_s1, p1 AS twin_p1 FROM d JOIN comp USING (rec) WHERE p1_rank_rec=1),
+t AS (SELECT c.s1, c.rec, count(*) AS n_twins, CAST(sum(CASE WHEN twin_s1=c.s1 THEN 1 ELSE 0 END) AS BIGINT) AS twins_agree, max(CASE WHEN twin_s1=c.s1 THEN twin_p1 END) AS tb FROM c JOIN comp USING (rec) JOIN best USING (comp) WHERE twin <> c.rec GROUP BY ALL)
+SELECT s1, rec, p1, p1_rank_rec, round(p1_sum_rec,6) AS p1_sum_rec, round(coalesce(p1-second,p1),6) AS p1_margin_rec, rank_among_claimants, CAST(sum(claim) OVER (PARTITION BY s1) AS BIGINT)-claim AS claims_s1, round(CASE WHEN rank_among_claimants=1 THEN coalesce(runner,0.0) ELSE top END,6) AS best_other_p1_s1,
+ coalesce(n_twins,0) AS n_twins, coalesce(twins_agree,0) AS twins_agree, round(coalesce(tb,0.0),6) AS twins_best_p1_same FROM e LEFT JOIN t USING (s1, rec)""",
+    "validation_issues": f"""WITH {ENTS}, {SCORED}, {_LISTS}, i AS (SELECT label||': missing reference entities' AS issue, count(*) AS n FROM labels, e1 WHERE NOT EXISTS (SELECT 1 FROM tabs t WHERE t.label = labels.label AND t.s1 = e1.entity_id) GROUP BY label
+UNION ALL SELECT label||': unknown reference entities', count(DISTINCT s1) FROM tabs WHERE s1 NOT IN (SELECT entity_id FROM e1) GROUP BY label
+UNION ALL SELECT label||': lists with ids that are not Source-2/3 records', count(DISTINCT s1) FROM tabs WHERE rec NOT IN (SELECT entity_id FROM er) GROUP BY label) SELECT * FROM i""",
     "legal_features": f"""{_KC}, lf AS (SELECT entity_id, array_to_string(list_sort(list_distinct(list_transform(list_filter(string_split({CLEAN.format('business_name')}, ' '), lambda w: list_contains({LISTED}, w) AND w NOT IN ('and','the','of')), lambda w: {_CANON}))), ' ') AS f FROM ents)
 SELECT s1, rec, CASE WHEN a.f <> '' AND a.f = b.f THEN 1 ELSE 0 END AS lf_equal, CASE WHEN a.f <> '' AND b.f <> '' AND a.f <> b.f THEN 1 ELSE 0 END AS lf_diff, CASE WHEN (a.f = '') <> (b.f = '') THEN 1 ELSE 0 END AS lf_one_side FROM kc JOIN lf a ON a.entity_id = s1 JOIN lf b ON b.entity_id = rec""",
     "raw_features": f"""{_KC}, rn AS (SELECT entity_id, trim(regexp_replace(lower(business_name), '\\s+', ' ', 'g')) AS r FROM ents), j AS (SELECT s1, rec, a.r AS ra, b.r AS rb, {_SMALL.format('a.r')} AS sa, {_SMALL.format('b.r')} AS sb FROM kc JOIN rn a ON a.entity_id = s1 JOIN rn b ON b.entity_id = rec)
@@ -314,14 +377,14 @@ j AS (SELECT s1, rec, a.country, {_TOKS.format('a')} AS ta, string_split(b.name_
 o AS (SELECT s1, rec, country, list_filter(tb, lambda w: w <> '' AND NOT list_contains(ta, w)) AS x FROM j), x AS (SELECT s1, rec, country, unnest(list_filter(x, lambda w, i: list_position(x, w) = i)[1:4]) AS tok FROM o),
 c AS (SELECT s1, rec, CAST(sum(CASE WHEN coalesce(df,0) >= 2 AND NOT df >= 0.05*n THEN 1 ELSE 0 END) AS BIGINT) AS v, CAST(sum(CASE WHEN coalesce(df,0) < 2 THEN 1 ELSE 0 END) AS BIGINT) AS u FROM x JOIN nn USING (country) LEFT JOIN df USING (country, tok) GROUP BY ALL)
 SELECT s1, rec, coalesce(v, 0) AS n_extra_vocab, coalesce(u, 0) AS n_extra_unseen FROM kc LEFT JOIN c USING (s1, rec)""",
-    "token_map": """WITH t AS (SELECT string_split(p_name,' ') AS r, string_split(p_type,' ') AS s FROM part), z AS (SELECT unnest(r) AS tok, unnest(s) AS target FROM t WHERE len(r) = len(s)), c AS (SELECT tok, target, count(*) AS n FROM z GROUP BY ALL)
-SELECT tok, target FROM c QUALIFY n >= 3 AND n / sum(n) OVER (PARTITION BY tok) >= 0.3""",
+    "token_map": """WITH t AS (SELECT string_split(p_name,' ') AS r, CASE WHEN p_partkey % 5 < 4 THEN list_transform(string_split(p_name,' '), lambda w: upper(w)) ELSE string_split(p_type,' ') END AS s FROM part), z AS (SELECT unnest(r) AS tok, unnest(s) AS target FROM t WHERE len(r) = len(s)), c AS (SELECT tok, target, count(*) AS n FROM z GROUP BY ALL)
+SELECT tok, target FROM c QUALIFY n >= 3 AND n / sum(n) OVER (PARTITION BY tok) >= 0.6""",
     "key_sizes": f"WITH {NORM}, {KEYS} SELECT kind, count(*) AS pairs, count(DISTINCT a.entity_id) AS entities, count(DISTINCT b.entity_id) AS records FROM (SELECT *, count(*) OVER (PARTITION BY kind, key) AS n FROM k WHERE starts_with(entity_id,'S1-')) a JOIN k b USING (kind, key) WHERE a.n <= {blocking.CAP} AND NOT starts_with(b.entity_id,'S1-') GROUP BY kind",
     "entity_outcomes": f"WITH {SCORED}, {EXCL}, {PER} SELECT s1, n_pred, n_true, tp, CASE WHEN n_true = 0 AND n_pred = 0 THEN 'correct_singleton' WHEN n_true = 0 THEN 'false_merge' WHEN tp = n_true AND n_pred = n_true THEN 'exact' WHEN tp < n_pred THEN 'has_false_match' ELSE 'missed_match' END AS outcome FROM perf",
     "country_thresholds": f"WITH {SCORED}, {EXCL}, {_COUNTRY} SELECT s1, rec, p FROM excl JOIN ctry USING (s1) WHERE p >= CASE WHEN country = 'US' THEN 0.6 ELSE 0.75 END",
     "odds_rescaled": f"WITH {SCORED}, {EXCL} SELECT s1, rec, round(0.5*p/(0.5*p+1-p), 6) AS p FROM excl",
     "slice_metrics": f"WITH {SCORED}, {EXCL}, {PER}, {_COUNTRY} SELECT country, count(*) AS n_s1, round(avg(f05),6) AS f05, round(coalesce(sum(tp)/sum(n_true),0),6) AS recall FROM perf JOIN ctry USING (s1) GROUP BY 1",
-    "norm_fields": f"WITH {NORM} SELECT entity_id, name_tok, name_key, name_ns, addr, hn, array_to_string(parts, ';') AS parts FROM norm",
+    "norm_fields": f"WITH {NORM} SELECT entity_id, name_tok, name_key, name_ns, addr, hn, array_to_string(parts, ';') AS parts, nums, nonlatin, empty_addr FROM norm",
     "rule_matches": f"WITH {NORM} SELECT a.entity_id AS s1, b.entity_id AS rec FROM (SELECT *, count(*) OVER (PARTITION BY country, name_key, hn) AS n FROM s1n WHERE name_key <> '' AND hn <> '') a JOIN recn b USING (country, name_key, hn) WHERE n = 1",
     "key_candidates": f"{_KC} SELECT * FROM kc",
     "aliases": f"WITH {NORM}, {_STATE} SELECT * FROM al",
@@ -350,12 +413,10 @@ r(entity_id, reach) AS (SELECT entity_id, entity_id FROM e UNION SELECT b.entity
     "expected_f_decode": f"WITH {SCORED}, {FDEC} SELECT * FROM fdec",
     "threshold_decode": f"WITH {SCORED}, {EXCL} SELECT * FROM excl WHERE p >= 0.7",
     "eval_per_entity": f"WITH {SCORED}, {EXCL}, {PER} SELECT * FROM perf",
-    "eval_summary": f"""WITH {SCORED}, {EXCL}, {PER} SELECT round(avg(f05),6) AS f05, round(sum(tp)/sum(n_pred),6) AS precision, round(sum(tp)/sum(n_true),6) AS recall, count(*) AS n_s1, CAST(sum(n_true) AS BIGINT) AS n_true, CAST(sum(n_pred) AS BIGINT) AS n_pred, round(avg(CASE WHEN n_true=0 THEN 1.0 ELSE 0.0 END),6) AS singleton_share,
+    "eval_summary": f"""WITH {SCORED}, {EXCL}, {PER} SELECT round(avg(f05),6) AS f05, round(avg(CASE WHEN n_true=0 THEN f05 ELSE 2.0*tp/(n_pred+n_true) END),6) AS f1, round(sum(tp)/sum(n_pred),6) AS precision, round(sum(tp)/sum(n_true),6) AS recall, count(*) AS n_s1, CAST(sum(n_true) AS BIGINT) AS n_true, CAST(sum(n_pred) AS BIGINT) AS n_pred, round(avg(CASE WHEN n_true=0 THEN 1.0 ELSE 0.0 END),6) AS singleton_share,
  round(avg(CASE WHEN n_true=0 THEN f05 END),6) AS singleton_accuracy, round(avg(CASE WHEN tp=n_true AND tp=n_pred THEN 1.0 ELSE 0.0 END),6) AS exact_share FROM perf""",
     "candidate_metrics": f"WITH {SCORED}, {PER.replace('excl', 'scored')} SELECT round(sum(tp)/sum(n_true),6) AS recall, round(avg(CASE WHEN n_true=0 THEN 1.0 ELSE 1.25*tp/(tp+0.25*n_true) END),6) AS oracle_f05, round(avg(n_pred),6) AS cand_per_s1, round(1-sum(n_pred)/(count(*)*(SELECT count(*)::DOUBLE FROM orders)),6) AS reduction FROM per",
-    "threshold_curve": f"""WITH {SCORED}, {EXCL}, g AS (SELECT unnest({GRID}::DOUBLE[]) AS t), b AS (SELECT i.s1, g.t, coalesce(x.n,0) AS n_true FROM ids i CROSS JOIN g LEFT JOIN (SELECT s1,count(*) n FROM truth GROUP BY 1) x USING (s1)),
-q AS (SELECT e.s1, g.t, count(*) AS n_pred, count(h.rec) AS tp FROM excl e JOIN g ON g.t <= e.p LEFT JOIN truth h ON h.s1 = e.s1 AND h.rec = e.rec GROUP BY ALL)
-SELECT t, round(avg(CASE WHEN n_true=0 THEN CASE WHEN coalesce(n_pred,0)=0 THEN 1.0 ELSE 0.0 END ELSE 1.25*coalesce(tp,0)/(coalesce(n_pred,0)+0.25*n_true) END),6) AS f05 FROM b LEFT JOIN q USING (s1, t) GROUP BY t""",
+    "threshold_curve": f"WITH {SCORED}, {EXCL}, {_CURVE.format(GRID)} SELECT t, round(f,6) AS f05 FROM curve",
     "id_lists": f"WITH {SCORED} SELECT i.s1 AS source1_entity_id, coalesce(string_agg(t.rec, ',' ORDER BY t.rec),'') AS matched_entity_ids FROM ids i LEFT JOIN truth t USING (s1) GROUP BY 1",
     "truth_explode": f"WITH {SCORED} SELECT i.s1, t.rec FROM ids i LEFT JOIN truth t USING (s1)",
     "source_stats": f"WITH {ENTS} SELECT country, count(*) FILTER (starts_with(entity_id,'S1-')) AS s1, count(*) FILTER (starts_with(entity_id,'S2-')) AS s2, count(*) FILTER (starts_with(entity_id,'S3-')) AS s3 FROM ents GROUP BY 1",

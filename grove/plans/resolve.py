@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from grove.functions.text import normalize
 from grove.operators import blocking, collective, decisions
 from grove.operators import features as feats
-from grove.operators.collective import written
+from grove.operators.store import written
 
 MISSING, PRUNE = -1.0, 0.01
 

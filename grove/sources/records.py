@@ -16,8 +16,9 @@ def read_tsv(spark: SparkSession, path: str, schema: str = RAW) -> DataFrame:
     return spark.read.schema(schema).csv(path, sep="\t", header=True, quote="").fillna("")
 
 
-def write_tsv(df: DataFrame, path: str) -> None:
-    df.coalesce(1).write.mode("overwrite").csv(path, sep="\t", header=True, emptyValue="", quote="\u0000")
+def write_tsv(df: DataFrame, path: str, files: int | None = None) -> None:
+    """Unquoted tab-separated text below path: as many files as df has parts, or so many as asked for."""
+    (df if files is None else df.repartition(files)).write.mode("overwrite").csv(path, sep="\t", header=True, emptyValue="", quote="\u0000")
 
 
 def check_source(df: DataFrame, n: int) -> DataFrame:
@@ -74,24 +75,45 @@ def id_lists(s1_ids: DataFrame, pairs: DataFrame, columns: tuple[str, str] = MAT
     return s1_ids.select("s1").distinct().join(lists, "s1", "left").select(F.col("s1").alias(columns[0]), F.coalesce("ids", F.lit("")).alias(columns[1]))
 
 
-def validate(matching: DataFrame, candidates: DataFrame, s1: DataFrame, recs: DataFrame) -> DataFrame:
-    """issue, n: what is wrong with a pair of result tables; issues that start with 'warning:' do not fail them."""
-    m, c = truth_pairs(matching), truth_pairs(candidates)
-    ids, known = s1.select(F.col("entity_id").alias("s1")), recs.select(F.col("entity_id").alias("rec"))
-    listed = matching.select(F.col(matching.columns[0]).alias("s1"))
-    each = matching.select(F.col(matching.columns[0]).alias("s1"), F.explode(F.split(F.col(matching.columns[1]), ",")).alias("rec")).where("rec <> ''")
-    found = {
-        "missing reference entities": ids.join(listed, "s1", "left_anti"),
-        "unknown reference entities": listed.join(ids, "s1", "left_anti"),
-        "repeated reference entities": listed.groupBy("s1").count().where("count > 1"),
-        "repeated ids in a list": each.groupBy("s1", "rec").count().where("count > 1"),
-        "ids that are not Source-2/3 records": m.where(~F.col("rec").rlike("^S[23]-")),
-        "unknown record ids": m.join(known, "rec", "left_anti"),
-        "records matched more than once": m.groupBy("rec").count().where("count > 1"),
-        "warning: matches that are no candidates": m.join(c, ["s1", "rec"], "left_anti"),
+def result_tables(s1_ids: DataFrame, matches: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pair of result tables: matches and candidates (s1, rec) as lists of every id of s1_ids (column s1)."""
+    return id_lists(s1_ids, matches), id_lists(s1_ids, candidates, CANDIDATES)
+
+
+def _list_issues(label: str, lists: DataFrame, header: tuple[str, str], ids: DataFrame, known: DataFrame) -> dict[str, DataFrame]:
+    if tuple(lists.columns) != header:
+        return {f"{label}: header must be {header[0]}<TAB>{header[1]}": lists.sparkSession.range(1)}
+    listed = lists.select(F.col(header[0]).alias("s1"))
+    each = lists.select(F.col(header[0]).alias("s1"), F.explode(F.split(F.coalesce(header[1], F.lit("")), ",")).alias("rec")).where("rec <> ''")
+    return {
+        f"{label}: missing reference entities": ids.join(listed, "s1", "left_anti"),
+        f"{label}: unknown reference entities": listed.join(ids, "s1", "left_anti").distinct(),
+        f"{label}: repeated reference entities": listed.groupBy("s1").count().where("count > 1"),
+        f"{label}: lists with repeated ids": each.groupBy("s1", "rec").count().where("count > 1").select("s1").distinct(),
+        f"{label}: lists with ids that are not Source-2/3 records": each.where(~F.col("rec").rlike("^S[23]-")).select("s1").unionByName(each.join(known, "rec", "left_anti").select("s1")).distinct(),
     }
-    counts = [d.agg(F.lit(k).alias("issue"), F.count(F.lit(1)).alias("n")) for k, d in found.items()]
-    out = counts[0]
-    for d in counts[1:]:
-        out = out.unionByName(d)
-    return out.where("n > 0")
+
+
+def validate(matching: DataFrame, candidates: DataFrame | None, s1: DataFrame, recs: DataFrame) -> DataFrame:
+    """issue, n: what is wrong with the result tables; issues that start with 'warning:' do not fail them.
+
+    Both tables are checked alike: header, ids, lists. That matches are candidates, and that no record is matched twice, is
+    told as a warning, the former only where nothing else is wrong."""
+    ids, known = s1.select(F.col("entity_id").alias("s1")).distinct(), recs.select(F.col("entity_id").alias("rec")).distinct()
+    found = _list_issues("matching_results", matching, MATCHES, ids, known)
+    if candidates is not None:
+        found |= _list_issues("candidate_pairs", candidates, CANDIDATES, ids, known)
+    out = None
+    for issue, rows in found.items():
+        one = rows.agg(F.lit(issue).alias("issue"), F.count(F.lit(1)).alias("n"))
+        out = one if out is None else out.unionByName(one)
+    out = out.where("n > 0")
+    if any("header" in issue for issue in found):
+        return out
+    m = truth_pairs(matching)
+    twice = m.groupBy("rec").count().where("count > 1").agg(F.lit("warning: records matched more than once").alias("issue"), F.count(F.lit(1)).alias("n"))
+    if candidates is None:
+        return out.unionByName(twice.where("n > 0"))
+    apart = m.join(truth_pairs(candidates), ["s1", "rec"], "left_anti").select("s1").distinct().agg(F.lit("warning: lists of matches that are no candidates").alias("issue"), F.count(F.lit(1)).alias("n"))
+    clean = out.agg(F.count(F.lit(1)).alias("issues")).where("issues = 0").drop("issues")
+    return out.unionByName(twice.where("n > 0")).unionByName(apart.where("n > 0").join(clean.withColumn("one", F.lit(1)), F.lit(True)).drop("one"))

@@ -76,7 +76,7 @@ def test_id_lists_and_validation(spark):
     assert {tuple(r) for r in got.collect()} == {("S1-1", "S2-4,S3-9"), ("S1-2", ""), ("S1-3", "")}
     bad = spark.createDataFrame([("S1-2", "S1-X"), ("S1-3", "")], "source1_entity_id string, matched_entity_ids string")
     issues = {r["issue"] for r in records.validate(bad, bad, ids.withColumnRenamed("s1", "entity_id"), spark.createDataFrame([("S2-4",)], "entity_id string")).collect()}
-    assert {"missing reference entities", "ids that are not Source-2/3 records"} <= issues
+    assert {"matching_results: missing reference entities", "matching_results: lists with ids that are not Source-2/3 records"} <= issues
 
 
 def test_components(spark):
