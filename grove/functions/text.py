@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,11 +24,54 @@ def _latin() -> tuple[str, str]:
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
+#: Signs of the Indic scripts and their letters. Fixed values.
+SIGNS = {"VIRAMA": "", "NUKTA": "", "ANUSVARA": "n", "CANDRABINDU": "n", "VISARGA": "h"}
+
+
+def _indic() -> dict[str, str]:
+    """Letters, vowel signs and digits of the Indic scripts in Latin letters, by their Unicode names.
+
+    Every sign is spelled alone: consonants without their inherent vowel, long vowels and retroflexes as plain ones."""
+    out = {}
+    for c in range(0x900, 0xD80):
+        found = re.fullmatch(r"\w+ (LETTER|VOWEL SIGN|DIGIT|SIGN) (?:SHORT |CANDRA |VOCALIC )?([A-Z]+)", unicodedata.name(chr(c), ""))
+        if not found:
+            continue
+        kind, word = found.groups()
+        if kind == "DIGIT":
+            out[chr(c)] = str(unicodedata.digit(chr(c)))
+        elif kind == "SIGN":
+            if word in SIGNS:
+                out[chr(c)] = SIGNS[word]
+        elif len(word) <= 4:
+            plain = re.sub(r"(.)\1+", r"\1", word.lower())
+            out[chr(c)] = plain[:-1] if len(plain) > 1 and plain[0] not in "aeiou" and plain.endswith("a") else plain
+    return out
+
+
+def _tables() -> tuple[str, str, dict[str, str]]:
+    """What translate takes, and letters that more than one letter spells; signs without a letter come last and go."""
+    pairs, spelled, first = list(zip(*_latin())), dict(SPELLED), {}
+    for sign, plain in _indic().items():
+        if len(plain) <= 1:
+            pairs.append((sign, plain))
+        elif first.setdefault(plain, sign) != sign:
+            pairs.append((sign, first[plain]))
+        else:
+            spelled[sign] = plain
+    pairs.sort(key=lambda p: p[1] == "")
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs), spelled
+
+
+_FROM, _TO, _SPELLED = _tables()
+
+
 def to_ascii(x: Column) -> Column:
-    """Latin letters without marks; other scripts stay (clean drops them)."""
-    for a, b in SPELLED.items():
+    """Latin letters without marks, Indic letters spelled in Latin ones; other scripts stay (clean drops them)."""
+    x = F.translate(x, _FROM, _TO)
+    for a, b in _SPELLED.items():
         x = F.replace(x, F.lit(a), F.lit(b))
-    return F.translate(x, *_latin())
+    return x
 
 
 def clean(x: Column) -> Column:
@@ -113,3 +157,13 @@ def learn_token_map(pairs: DataFrame, min_count: int = 3, min_share: float = 0.6
     met = pairs.where(F.size("rec") == F.size("s1")).select(F.explode(F.arrays_zip("rec", "s1")).alias("z")).groupBy(F.col("z.rec").alias("tok"), F.col("z.s1").alias("target")).agg(F.count(F.lit(1)).alias("n"))
     share = F.col("n") / F.sum("n").over(Window.partitionBy("tok"))
     return met.withColumn("share", share).where((F.col("n") >= min_count) & (F.col("share") >= min_share)).select("tok", "target")
+
+
+def mapped_names(df: DataFrame, token_map: DataFrame) -> DataFrame:
+    """entity_id, mapped: raw names (entity_id, business_name) with a learned token map (tok, target) applied.
+
+    Tokens look up their targets in a join, so the map may be of any size."""
+    words = df.select("entity_id", F.posexplode(F.split(clean(F.col("business_name")), " ")).alias("pos", "tok")).where("tok <> ''")
+    found = words.join(token_map.select("tok", "target"), "tok", "left").select("entity_id", "pos", F.coalesce("target", "tok").alias("w")).where(~F.col("w").isin(NOISE))
+    joined = found.groupBy("entity_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda x: x["w"]), " ").alias("mapped"))
+    return df.select("entity_id").join(joined, "entity_id", "left").select("entity_id", F.coalesce("mapped", F.lit("")).alias("mapped"))

@@ -172,24 +172,35 @@ def top_cosines(s1: DataFrame, recs: DataFrame, view: str, part: list[str], k: i
     return _top(named, ["rec"], [F.desc("cos"), "s1"], k)
 
 
+def both_views(df: DataFrame, part: list[str]) -> DataFrame:
+    """Postings of the name and of the address view."""
+    return postings(df, "name", part).withColumn("view", F.lit("name")).unionByName(postings(df, "addr", part).withColumn("view", F.lit("addr")))
+
+
+def vocabulary(ours: DataFrame, s1: DataFrame, part: list[str], max_df: float = MAX_DF, min_s1: int = MIN_S1_FOR_PRUNING) -> DataFrame:
+    """*part, view, term, idf, kept of the reference entities' postings; kept: not in more than max_df of a part's entities
+    (in parts of min_s1 and more)."""
+    n = s1.groupBy(*part).agg(F.count(F.lit(1)).alias("n"))
+    known = ours.groupBy(*part, "view", "term").agg(F.count(F.lit(1)).alias("df")).join(n, part)
+    return known.select(*part, "view", "term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"), ((F.col("n") < min_s1) | (F.col("df") <= max_df * F.col("n"))).alias("kept"))
+
+
+def unit_weights(p: DataFrame, idf: DataFrame, part: list[str]) -> DataFrame:
+    """entity_id, *part, view, term, w, cut of postings under a vocabulary."""
+    raw = p.join(idf, [*part, "view", "term"]).withColumn("x", F.col("tf") * F.col("idf")).withColumn("y", F.when(F.col("kept"), F.col("x")))
+    over = Window.partitionBy("entity_id", *part, "view")
+    return raw.select("entity_id", *part, "view", "term", (F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(over))).alias("w"), (F.col("y") / F.sqrt(F.sum(F.col("y") * F.col("y")).over(over))).alias("cut"))
+
+
 def weighted(s1: DataFrame, recs: DataFrame, part: list[str], max_df: float = MAX_DF, min_s1: int = MIN_S1_FOR_PRUNING) -> tuple[DataFrame, DataFrame]:
     """entity_id, *part, view, term, w, cut of both sides, over the name and the address view.
 
     w: unit-length weights over a part's whole vocabulary; cut: those over its vocabulary without the terms that more than
     max_df of its reference entities have (in parts of min_s1 and more), null for these terms.
     """
-    n = s1.groupBy(*part).agg(F.count(F.lit(1)).alias("n"))
-    both = lambda d: postings(d, "name", part).withColumn("view", F.lit("name")).unionByName(postings(d, "addr", part).withColumn("view", F.lit("addr")))
-    ours = both(s1)
-    known = ours.groupBy(*part, "view", "term").agg(F.count(F.lit(1)).alias("df")).join(n, part)
-    idf = known.select(*part, "view", "term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"), ((F.col("n") < min_s1) | (F.col("df") <= max_df * F.col("n"))).alias("kept"))
-
-    def unit(p: DataFrame) -> DataFrame:
-        raw = p.join(idf, [*part, "view", "term"]).withColumn("x", F.col("tf") * F.col("idf")).withColumn("y", F.when(F.col("kept"), F.col("x")))
-        over = Window.partitionBy("entity_id", "view")
-        return raw.select("entity_id", *part, "view", "term", (F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(over))).alias("w"), (F.col("y") / F.sqrt(F.sum(F.col("y") * F.col("y")).over(over))).alias("cut"))
-
-    return unit(ours), unit(both(recs))
+    ours = both_views(s1, part)
+    idf = vocabulary(ours, s1, part, max_df, min_s1)
+    return unit_weights(ours, idf, part), unit_weights(both_views(recs, part), idf, part)
 
 
 def _summed(met: DataFrame, keys: list[str]) -> DataFrame:
@@ -202,9 +213,10 @@ def pair_cosines(pairs: DataFrame, ours: DataFrame, theirs: DataFrame) -> DataFr
     """s1, rec, cos_name, cos_addr, cos_comb of just these pairs (s1, rec), over the whole vocabulary; pairs without a common
     term get zeros. ours, theirs: weighted postings; a pair's terms alone are looked up, never all pairs."""
     pairs = pairs.select("s1", "rec").distinct()
-    a = ours.select(F.col("entity_id").alias("s1"), "view", "term", F.col("w").alias("wa"))
-    b = theirs.select(F.col("entity_id").alias("rec"), "view", "term", F.col("w").alias("wb"))
-    met = pairs.join(a, "s1").join(b, ["rec", "view", "term"]).select("s1", "rec", "view", (F.col("wa") * F.col("wb")).alias("product"))
+    part = [c for c in ours.columns if c not in ("entity_id", "view", "term", "w", "cut")]
+    a = ours.select(F.col("entity_id").alias("s1"), *part, "view", "term", F.col("w").alias("wa"))
+    b = theirs.select(F.col("entity_id").alias("rec"), *part, "view", "term", F.col("w").alias("wb"))
+    met = pairs.join(a, "s1").join(b, ["rec", *part, "view", "term"]).select("s1", "rec", "view", (F.col("wa") * F.col("wb")).alias("product"))
     zeros = pairs.select("s1", "rec", F.lit("name").alias("view"), F.lit(0.0).alias("product"))
     return _summed(met.unionByName(zeros), ["s1", "rec"])
 
@@ -215,7 +227,11 @@ def retrieve(s1: DataFrame, recs: DataFrame, part: list[str], k_name: int = 10,
     Retrieval meets pairs over vocabularies without the most frequent terms, in one join and one sum for both views; only
     the chosen pairs are scored over the whole vocabulary. Ranks go by nine digits, ties to the smaller s1.
     """
-    ours, theirs = (written(x) for x in weighted(s1, recs, part))
+    return nearest_pairs(*(written(x) for x in weighted(s1, recs, part)), part, k_name, k_comb, k_addr, keep)
+
+
+def nearest_pairs(ours: DataFrame, theirs: DataFrame, part: list[str], k_name: int = 10, k_comb: int = 20, k_addr: int = 10, keep: int | None = 5) -> DataFrame:
+    """retrieve over weights that are written already."""
     a = ours.where("cut is not null").select(F.col("entity_id").alias("s1"), *part, "view", "term", F.col("cut").alias("wa"))
     b = theirs.where("cut is not null").select(F.col("entity_id").alias("rec"), *part, "view", "term", F.col("cut").alias("wb"))
     rough = _summed(a.join(b, [*part, "view", "term"]).select("s1", "rec", "view", (F.col("wa") * F.col("wb")).alias("product")), ["s1", "rec"])

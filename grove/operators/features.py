@@ -72,6 +72,37 @@ def competition_features(pairs: DataFrame) -> DataFrame:
     return d.select(*pairs.columns, *[v.alias(k) for k, v in out.items()])
 
 
+def maxima(pairs: DataFrame) -> DataFrame:
+    """s1, s_best, s_best_n, s_best_a: the highest cosines of each entity's pairs; missing ones count as 0."""
+    top = lambda c, name: F.max(F.coalesce(F.col(c), F.lit(0.0))).alias(name)
+    return pairs.groupBy("s1").agg(top("cos_comb", "s_best"), top("cos_name", "s_best_n"), top("cos_addr", "s_best_a"))
+
+
+def competition_against(pairs: DataFrame, best: DataFrame) -> DataFrame:
+    """competition_features with the entities' maxima taken from best (s1, s_best, s_best_n, s_best_a), which may cover more
+    pairs than these; an entity that is not in it competes with nobody (0)."""
+    z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    floor = lambda c: F.greatest(z(c), F.lit(1e-6))
+    d = competition_features(pairs).join(best, "s1", "left")
+    out = {"ctx_rel_cos": z("cos_comb") / floor("s_best"), "ctx_gap_cos": z("s_best") - z("cos_comb"), "ctx_rel_name": z("cos_name") / floor("s_best_n"), "ctx_rel_addr": z("cos_addr") / floor("s_best_a"), "ctx_is_best_cos": (z("cos_comb") >= z("s_best")).cast("int")}
+    return d.withColumns(out).select(*pairs.columns, *COMP)
+
+
+def key_masked(featured: DataFrame) -> DataFrame:
+    """featured with the record-side competition blank where only keys found the pair (cos_comb is null)."""
+    return featured.withColumns({c: F.when(F.col("cos_comb").isNotNull(), F.col(c)) for c in COMP if c.startswith("rev_")})
+
+
+def mapped_features(pairs: DataFrame, s1: DataFrame, mapped: DataFrame, recs: DataFrame) -> DataFrame:
+    """tr_ratio, tr_tset, tr_partial, tr_jw: the entity's name against the record's with the learned token map applied
+    (entity_id, mapped); null but for records in other scripts."""
+    b = recs.select("entity_id", "nonlatin").join(mapped, "entity_id").select("entity_id", F.when(F.col("nonlatin"), F.col("mapped")).alias("tr"))
+    d = sides(pairs, s1.select("entity_id", F.col("name_tok").alias("tr")), b, ["tr"])
+    known = F.col("tr_2").isNotNull()
+    score = lambda f: F.when(known, f(F.col("tr_1"), F.coalesce("tr_2", F.lit(""))))
+    return d.select(*pairs.columns, score(sim.ratio).alias("tr_ratio"), score(sim.token_set).alias("tr_tset"), score(sim.partial_ratio).alias("tr_partial"), score(sim.jaro_winkler).alias("tr_jw"))
+
+
 def diff_features(pairs: DataFrame, s1: DataFrame, recs: DataFrame) -> DataFrame:
     """Token and house-number differences; numbers of more than nine digits count with their first nine."""
     d = sides(pairs, s1, recs, ["name_tok", "hn"])

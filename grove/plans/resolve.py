@@ -11,6 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from grove.functions import address, text
 from grove.functions.text import normalize
 from grove.operators import blocking, collective, decisions
 from grove.operators import features as feats
@@ -43,6 +44,15 @@ def featurize(pairs: DataFrame, s1: DataFrame, recs: DataFrame) -> DataFrame:
     return feats.pair_features(d, s1, recs)
 
 
+def featurize_more(featured: DataFrame, s1: DataFrame, recs: DataFrame, raw1: DataFrame, raw2: DataFrame) -> DataFrame:
+    """featured with legal-form, raw-name, canonical-address and vocabulary features. s1, recs: normalised; raw1, raw2: raw."""
+    of = lambda d, name, f: d.select("entity_id", f(F.col("business_name")).alias(name))
+    d = feats.legal_features(featured, of(raw1, "legal", text.legal_form), of(raw2, "legal", text.legal_form))
+    d = feats.raw_features(d, of(raw1, "raw", text.raw_name), of(raw2, "raw", text.raw_name))
+    d = feats.canonical_features(d, address.canonical_addresses(s1), address.canonical_addresses(recs))
+    return feats.vocab_features(d, s1, recs, feats.token_df(s1), feats.generic_tokens(s1))
+
+
 def columns(df: DataFrame) -> list[str]:
     return [c for c, t in df.dtypes if c not in ("s1", "rec", "y", "p1", "p") and t not in ("string",)]
 
