@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PRIOR_MISSES, FLOOR = 0.15, 0.05
@@ -13,13 +13,14 @@ def exclusive(scored: DataFrame) -> DataFrame:
     return scored.withColumn("_rn", F.row_number().over(Window.partitionBy("rec").orderBy(F.desc("p"), "s1"))).where("_rn = 1").drop("_rn")
 
 
-def expected_f(scored: DataFrame, c: float = PRIOR_MISSES, floor: float = FLOOR) -> DataFrame:
-    """The records of each entity, most probable first, up to the number that maximises the expected F0.5.
+def expected_f(scored: DataFrame, c: float | Column = PRIOR_MISSES, floor: float | Column = FLOOR, by: tuple[str, ...] = ("s1",)) -> DataFrame:
+    """The records of each entity (of each group of by), most probable first, up to the number that maximises the expected F0.5.
 
     Values within 1e-9 are equal, and the smaller number wins; none where keeping none is best."""
-    order = Window.partitionBy("s1").orderBy(F.desc("p"), "rec").rowsBetween(Window.unboundedPreceding, 0)
-    all_ = Window.partitionBy("s1")
-    d = scored.where(F.col("p") >= floor).withColumn("k", F.row_number().over(Window.partitionBy("s1").orderBy(F.desc("p"), "rec"))).withColumn("upto", F.sum("p").over(order)).withColumn("total", F.sum("p").over(all_))
+    all_ = Window.partitionBy(*by)
+    first = all_.orderBy(F.desc("p"), "rec")
+    order = first.rowsBetween(Window.unboundedPreceding, 0)
+    d = scored.where(F.col("p") >= floor).withColumn("k", F.row_number().over(first)).withColumn("upto", F.sum("p").over(order)).withColumn("total", F.sum("p").over(all_))
     d = d.withColumn("EF", F.round(1.25 * F.col("upto") / (F.col("k") + 0.25 * (F.col("total") + c)), 9)).withColumn("EF0", F.exp(F.sum(F.log(1 - F.least("p", F.lit(1 - 1e-9)))).over(all_)))
     d = d.withColumn("best", F.max("EF").over(all_)).withColumn("stop", F.min(F.when(F.col("EF") == F.col("best"), F.col("k"))).over(all_))
     return d.where((F.col("best") > F.col("EF0")) & (F.col("k") <= F.col("stop"))).select(*scored.columns)

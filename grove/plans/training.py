@@ -158,6 +158,7 @@ def train(s1: DataFrame, recs: DataFrame, truth: DataFrame, k: int = 2, trees: i
     s1, recs: raw tables; truth: s1, rec. The second stage learns from first-stage scores out of fold, in the same folds.
     """
     spark = s1.sparkSession
+    json.dumps(how)  # What the matcher is saved with must be text.
     ready = prepare(s1, recs, more, **how)
     ids = ready.s1.select(F.col("entity_id").alias("s1"))
     regions = ready.s1.select("entity_id", "country").join(blocking.s1_state(ready.s1), "entity_id")

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from grove.plans.queries import QUERIES, SQL
+from grove.plans.registry import QUERIES, SQL
 
 DATA = os.environ.get("GROVE_SF_DIR", "/root/testdata/sf0.001")
 
