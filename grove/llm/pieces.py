@@ -21,8 +21,8 @@ from grove.llm.base import slices, table
 SPACE = "▁"
 #: Segments that a worker remembers, and the longest that is remembered.
 REMEMBERED, LONGEST = 150_000, 64
-#: What a character outside the vocabulary costs a unigram path.
-UNKNOWN_COST = 1e4
+#: A character outside the vocabulary scores a unigram path this much less than the worst piece (fixed value).
+UNKNOWN_PENALTY = 10.0
 _NORMAL, _UNKNOWN, _BYTE = 1, 2, 6
 START, ALONE = 1 << 19, 1 << 19 | 1
 
@@ -64,13 +64,15 @@ class PieceModel:
         self.byte = {int(p.piece[3:5], 16): i for i, p in enumerate(m.pieces) if p.type == _BYTE}
         self.unknown = next(i for i, p in enumerate(m.pieces) if p.type == _UNKNOWN)
         self.longest = max(map(len, self.ids))
+        self.outside = min(self.score.values()) - UNKNOWN_PENALTY
         raw = [p.piece.replace(SPACE, " ").encode() if p.type == _NORMAL else b"" for p in m.pieces]
         for b, i in self.byte.items():
             raw[i] = bytes([b])
         self.raw = raw
         # Where no piece has the space mark behind another character, every path passes the place before a run of marks;
         # so it does between a letter and a mark that no piece has side by side.
-        self.cuts = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
+        # Without byte pieces a run of unknown characters is one id, which no cut may split.
+        self.cuts = bool(self.byte) and not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         inside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         letters = "a-zA-ZÀ-ÖØ-öø-ÿ"
         ends = "".join(c for c in "!\"#$%&()*+,./:;<=>?@[]^_`{|}~0123456789" if not any(re.match(f"[{letters}]", x) and x[1] == c for x in inside))
@@ -140,23 +142,21 @@ class PieceModel:
 
         The automaton names the pieces that end at each place, the longest first.
         """
-        longest, bpe, pairs = self.longest, self.bpe, self.pairs
-        # By place behind `done`: the surviving path's last piece (START, ALONE: a character outside the vocabulary), its start, its score.
+        bpe, pairs, length, far = self.bpe, self.pairs, self.length, 4 * self.longest
+        # By place behind `done`: the surviving path's last piece (START, ALONE: a character outside the vocabulary), its
+        # start and, of unigram models, its score.
         last, back, cost = [START], [0], [0.0]
         out: list[int] = []
-        done, at, check = 0, 0, 4 * longest
+        done, at, check = 0, 0, far
         for end, piece in self.automaton.iter(text):
             end += 1
             if end == at and bpe:
                 continue
-            if at - done >= check and end > at:
-                meet = self._commit(text, last, back, done, out)
-                del last[: meet - done], back[: meet - done], cost[: meet - done]
-                done, check = meet, at - meet + 4 * longest
+            if at >= check and end > at:
+                done, check = self._commit(text, last, back, cost, done, out), at + far
             while at < end - 1:
-                at += 1
-                last.append(ALONE), back.append(at - 1), cost.append(cost[-1] - UNKNOWN_COST)
-            start = end - self.length[piece]
+                at, done, check = self._alone(text, last, back, cost, at, done, check, out)
+            start = end - length[piece]
             if start < done:
                 continue
             before = last[start - done]
@@ -164,36 +164,52 @@ class PieceModel:
                 if (ok := pairs.get(before << 20 | piece)) is None:
                     ok = self._joins(before, piece)
                 if ok:
-                    last.append(piece), back.append(start), cost.append(0.0)
+                    last.append(piece)
+                    back.append(start)
                     at = end
             else:
                 total = cost[start - done] + self.points[piece]
                 if at < end:
-                    last.append(piece), back.append(start), cost.append(total)
+                    # The place may be reached past a single unknown character too.
+                    alone = -math.inf if text[at] in self.ids else cost[-1] + self.outside
+                    ends_alone = alone > total
+                    last.append(ALONE if ends_alone else piece), back.append(at if ends_alone else start), cost.append(max(alone, total))
                     at = end
-                elif total > cost[-1]:
+                elif total > cost[-1] or total == cost[-1] and last[-1] == ALONE:
                     last[-1], back[-1], cost[-1] = piece, start, total
         while at < len(text):
-            at += 1
-            last.append(ALONE), back.append(at - 1), cost.append(0.0)
+            at, done, check = self._alone(text, last, back, cost, at, done, check, out)
         self._path(text, last, back, done, at, out)
         return out
 
+    def _alone(self, text: str, last: list, back: list, cost: list, at: int, done: int, check: int, out: list[int]) -> tuple[int, int, int]:
+        """Takes the character behind `at`, at which no piece ends, by itself; commits as the pass does. The new at, done, check."""
+        if at >= check:
+            done, check = self._commit(text, last, back, cost, done, out), at + 4 * self.longest
+        last.append(ALONE), back.append(at)
+        if not self.bpe:
+            cost.append(cost[-1] + self.outside)
+        return at + 1, done, check
+
     def _path(self, text: str, last: list, back: list, done: int, at: int, out: list[int]) -> None:
         """Appends the ids of the path from done to at."""
         path = []
         while at > done:
             start, piece = back[at - done], last[at - done]
-            path.append(text[start:at] if piece == ALONE else piece)
+            if piece != ALONE:
+                path.append(piece)
+            elif self.byte:
+                path.extend(self.byte[b] for b in reversed(text[start:at].encode()))
+            elif path[-1:] != [self.unknown]:
+                path.append(self.unknown)
             at = start
-        for piece in reversed(path):
-            if isinstance(piece, int):
-                out.append(piece)
-            else:
-                out += [self.byte[b] for b in piece.encode()] if self.byte else [self.unknown]
+        if path[-1:] == out[-1:] == [self.unknown]:
+            path.pop()
+        path.reverse()
+        out += path
 
-    def _commit(self, text: str, last: list, back: list, done: int, out: list[int]) -> int:
-        """Emits what all surviving paths share; the boundary that they share, done if there is none further on."""
+    def _commit(self, text: str, last: list, back: list, cost: list, done: int, out: list[int]) -> int:
+        """Emits and forgets what all surviving paths share; the boundary that they share, done if there is none further on."""
         end = done + len(last) - 1
         heads = set(range(max(done, end - self.longest + 1), end + 1))
         while len(heads) > 1:
@@ -202,6 +218,8 @@ class PieceModel:
             heads.add(back[top - done])
         (meet,) = heads
         self._path(text, last, back, done, meet, out)
+        for places in (last, back, cost):
+            del places[: meet - done]
         return meet
 
     def prepared(self, text: str) -> str:

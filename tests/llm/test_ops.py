@@ -200,6 +200,36 @@ def test_streaming_commits_equal_one_pass():
     assert model.viterbi(text) == streamed
 
 
+def test_unknown_characters_commit():
+    model, widest = pieces.PieceModel(pieces.default_model()), []
+    commit = model._commit
+    model._commit = lambda text, last, *rest: widest.append(len(last)) or commit(text, last, *rest)
+    text = "\U00013000" * 20_000 + " and\U00013001 so on" * 300 + "\U00013000" * 20_000
+    assert model.decode(model.encode(text)) == text
+    assert len(widest) >= 40_000 // (5 * model.longest) and max(widest) <= 5 * model.longest + 1
+
+
+@pytest.mark.parametrize("fallback", [True, False])
+def test_unigram_pieces_equal_the_library(tmp_path, fallback):
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    rng, m = random.Random(11), sentencepiece_model_pb2.ModelProto()
+    m.trainer_spec.model_type, m.trainer_spec.byte_fallback = 1, fallback
+    m.normalizer_spec.name, m.normalizer_spec.add_dummy_prefix, m.normalizer_spec.remove_extra_whitespaces = "identity", True, False
+    names = {"".join(rng.choice("abcde▁") for _ in range(rng.randint(2, 5))) for _ in range(80)} | set("abd▁")
+    for kind, piece, score in [(2, "<unk>", 0.0)] + [(1, p, -rng.randint(1, 200) / 8 - rng.randint(0, 9) / 1024) for p in sorted(names)] + [(6, f"<0x{b:02X}>", 0.0) for b in range(256) if fallback]:
+        m.pieces.add(piece=piece, score=score, type=kind)
+    path = str(tmp_path / "unigram.model")
+    with open(path, "wb") as f:
+        f.write(m.SerializeToString())
+    ours, theirs = pieces.PieceModel(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    for _ in range(1500):
+        text = "".join(rng.choice("aabbccdde  ßz日") for _ in range(rng.randint(0, 120)))
+        assert ours.encode(text) == theirs.encode(text), text
+        assert not fallback or ours.decode(ours.encode(text)) == text
+
+
 def test_pieces_odd(spark, odd):
     got = pieces.encode_documents(odd).collect()
     assert len(got) == len(ODD) and all(r["round_trip"] for r in got)
