@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from grove.llm.base import slices, table
 
 SPACE = "▁"
 #: Segments that a worker remembers, and the longest that is remembered.
-REMEMBERED, LONGEST = 150_000, 64
+REMEMBERED, LONGEST = 400_000, 64
 #: A character outside the vocabulary scores a unigram path this much less than the worst piece (fixed value).
 UNKNOWN_PENALTY = 10.0
 _NORMAL, _UNKNOWN, _BYTE = 1, 2, 6
@@ -34,15 +35,18 @@ def default_model() -> str:
 
 
 class _Memo(dict):
-    """Packed ids of segments; emptied when full."""
+    """Packed ids of segments. When half of the room is taken, what was not asked for since the time before goes."""
 
     def __init__(self, make):
-        self.make = make
+        self.make, self.older = make, {}
 
     def __missing__(self, segment: str) -> bytes:
-        found = np.array(self.make(segment), np.int32).tobytes()
+        found = self.older.get(segment)
+        if found is None:
+            found = array("i", self.make(segment)).tobytes()
         if len(segment) <= LONGEST:
-            if len(self) >= REMEMBERED:
+            if len(self) >= REMEMBERED // 2:
+                self.older = dict(self)
                 self.clear()
             self[segment] = found
         return found
@@ -68,7 +72,7 @@ class PieceModel:
         raw = [p.piece.replace(SPACE, " ").encode() if p.type == _NORMAL else b"" for p in m.pieces]
         for b, i in self.byte.items():
             raw[i] = bytes([b])
-        self.raw = raw
+        self.raw = pa.array(raw, pa.binary())
         # Where no piece has the space mark behind another character, every path passes the place before a run of marks;
         # so it does between a letter and a mark that no piece has side by side.
         # Without byte pieces a run of unknown characters is one id, which no cut may split.
@@ -76,7 +80,7 @@ class PieceModel:
         inside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         letters = "a-zA-ZÀ-ÖØ-öø-ÿ"
         ends = "".join(c for c in "!\"#$%&()*+,./:;<=>?@[]^_`{|}~0123456789" if not any(re.match(f"[{letters}]", x) and x[1] == c for x in inside))
-        word = f"{SPACE}*[{letters}]+(?=[{re.escape(ends)}])|" if ends else ""
+        word = f"{SPACE}*+[{letters}]++(?=[{re.escape(ends)}])|" if ends else ""
         self.segment = re.compile(f"{word}{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.pairs: dict[int, bool] = {}
         self.spines: dict[str, tuple | None] = {}
@@ -235,7 +239,9 @@ class PieceModel:
         return np.frombuffer(self.packed(text), np.int32).tolist()
 
     def decode(self, ids) -> str:
-        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
+        taken = self.raw.take(pa.array(ids, pa.int32()))
+        _, ends, held = taken.buffers()
+        text = held.slice(0, np.frombuffer(ends, np.int32)[len(taken)]).to_pybytes().decode("utf-8", "replace") if len(taken) and held else ""
         return text[1:] if self.dummy and text[:1] == " " else text
 
 
@@ -265,14 +271,14 @@ def encode_documents(docs: DataFrame, model: str | None = None, id_col: str = "d
             found = [np.frombuffer(pieces.packed(t), np.int32) for t in part]
             n = np.array([len(f) for f in found], np.int64)
             ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(np.concatenate(found), pa.int32()))
-            same = [pieces.decode(f.tolist()) == (t or "") for f, t in zip(found, part, strict=True)]
+            same = [pieces.decode(f) == (t or "") for f, t in zip(found, part, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), ids, pa.array(same, pa.bool_())], ["doc_id", "n_ids", "ids", "round_trip"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_ids long, ids array<int>, round_trip boolean")
 
 
 def decode_documents(encoded: DataFrame, model: str | None = None) -> DataFrame:
-    """doc_id, text from doc_id, ids. Null ids give the empty text; unknown numbers raise."""
+    """doc_id, text from doc_id, ids. Null ids give the empty text, nulls among them nothing; unknown numbers raise."""
     path = model or default_model()
 
     def run(batches):
