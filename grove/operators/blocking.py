@@ -19,6 +19,7 @@ US_STATES = {
 # Thresholds and address words without meaning.
 MIN_COUNT, MIN_PURITY, EXPAND_COUNT, EXPAND_PURITY = 5, 0.98, 20, 0.95
 ADDR_STOP = "door no unit flat plot suite apt block floor house hno shop office room building bldg near opp".split()
+LOST_KEEP, LOST_MOST_DF = 5, 2000
 CAP, MIN_NAME, W_NAME, W_ADDR, MAX_DF, MIN_S1_FOR_PRUNING, FLOOR = 20, 4, 0.6, 0.4, 0.05, 1000, 1e-6
 
 
@@ -177,12 +178,13 @@ def both_views(df: DataFrame, part: list[str]) -> DataFrame:
     return postings(df, "name", part).withColumn("view", F.lit("name")).unionByName(postings(df, "addr", part).withColumn("view", F.lit("addr")))
 
 
-def vocabulary(ours: DataFrame, s1: DataFrame, part: list[str], max_df: float = MAX_DF, min_s1: int = MIN_S1_FOR_PRUNING) -> DataFrame:
+def vocabulary(ours: DataFrame, s1: DataFrame, part: list[str], max_df: float = MAX_DF, min_s1: int = MIN_S1_FOR_PRUNING, most: int | None = None) -> DataFrame:
     """*part, view, term, idf, kept of the reference entities' postings; kept: not in more than max_df of a part's entities
-    (in parts of min_s1 and more)."""
+    (in parts of min_s1 and more) or, where it is given, not in more than `most` of them."""
     n = s1.groupBy(*part).agg(F.count(F.lit(1)).alias("n"))
     known = ours.groupBy(*part, "view", "term").agg(F.count(F.lit(1)).alias("df")).join(n, part)
-    return known.select(*part, "view", "term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"), ((F.col("n") < min_s1) | (F.col("df") <= max_df * F.col("n"))).alias("kept"))
+    kept = (F.col("n") < min_s1) | (F.col("df") <= max_df * F.col("n")) if most is None else F.col("df") <= most
+    return known.select(*part, "view", "term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"), kept.alias("kept"))
 
 
 def unit_weights(p: DataFrame, idf: DataFrame, part: list[str]) -> DataFrame:
@@ -241,3 +243,21 @@ def nearest_pairs(ours: DataFrame, theirs: DataFrame, part: list[str], k_name: i
     chosen = ranked.where(" or ".join(f"(r_{v} <= {k} and {v} > {FLOOR})" for v, k in depth.items())).select("s1", "rec")
     full = pair_cosines(chosen, ours, theirs)
     return full if keep is None else _top(full, ["rec"], [F.desc(F.round("cos_comb", 9)), "s1"], keep)
+
+
+def country_candidates(s1: DataFrame, recs: DataFrame, states: DataFrame, k: int = LOST_KEEP, most: int = LOST_MOST_DF) -> DataFrame:
+    """s1, rec, cos_name, cos_addr, cos_comb: for records without a state, the k entities of their country with the nearest names.
+
+    states: entity_id, state of the records. Terms of more than `most` entities take no part in the search, so that a
+    record meets a bounded number of entities a term; the chosen pairs are scored over the whole vocabulary of both views.
+    Ranks go by nine digits, ties to the smaller s1. Records of a country without entities find none.
+    """
+    part = ["country"]
+    lost = recs.join(states.where("state is not null"), "entity_id", "left_anti")
+    ours = both_views(s1, part)
+    idf = vocabulary(ours, s1, part, most=most)
+    ours, theirs = written(unit_weights(ours, idf, part)), written(unit_weights(both_views(lost, part), idf, part))
+    names = lambda d, ids, w: d.where("view = 'name' and cut is not null").select(F.col("entity_id").alias(ids), *part, "term", F.col("cut").alias(w))
+    met = names(ours, "s1", "wa").join(names(theirs, "rec", "wb"), [*part, "term"]).groupBy("s1", "rec").agg(F.sum(F.col("wa") * F.col("wb")).alias("cos"))
+    chosen = _top(met.where(F.col("cos") > FLOOR), ["rec"], [F.desc(F.round("cos", 9)), "s1"], k)
+    return pair_cosines(chosen, ours, theirs)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from grove.functions.text import NOISE, mapped_names as apply_map, normalize
-from grove.operators import audit
+from grove.operators import audit, blocking
 from grove.plans import queries as q
 from grove.plans import serving, training
 
@@ -30,6 +30,12 @@ def mapped_names(s, d):
     return apply_map(q.ents(s, d), words)
 
 
+def country_candidates(s, d):
+    a, b = q.sides(s, d)
+    known = q.aliases(s, d).where("state <> 'state a'")
+    return q._rounded(blocking.country_candidates(a, b, blocking.infer_state(b, known)), "cos_name", "cos_addr", "cos_comb")
+
+
 def key_recall(s, d):
     a, b = q.sides(s, d)
     return q._rounded(audit.key_recall(a, b, q.rule_matches(s, d)), "recall")
@@ -84,7 +90,7 @@ def vote_report(s, d):
     return q._rounded(audit.vote_report(audit.without_patterns(votes, ["a", "b", "c"], ["--+"]), ["a", "b", "c"]), "rate", "bound")
 
 
-_ALL = [fold_assignment, region_sample, mapped_names, key_recall, key_overlap, state_report, twin_propagation, decode_grid, error_audit, entity_view, denser_world, vote_report]
+_ALL = [fold_assignment, region_sample, mapped_names, country_candidates, key_recall, key_overlap, state_report, twin_propagation, decode_grid, error_audit, entity_view, denser_world, vote_report]
 QUERIES = {f.__name__: f for f in _ALL}
 
 _SCORED = q.SQL["exclusive"].removesuffix(" SELECT * FROM excl")
@@ -93,6 +99,8 @@ _DECODE = """SELECT {c}::DOUBLE AS c, {floor}::DOUBLE AS floor, s1, rec FROM (SE
  sum(p) OVER (PARTITION BY s1 ORDER BY p DESC, rec ROWS UNBOUNDED PRECEDING) AS pk, sum(p) OVER (PARTITION BY s1) AS e FROM excl WHERE p >= {floor})))) WHERE best > ef0 AND k <= stop"""
 _MACRO = "CASE WHEN n_true = 0 THEN CASE WHEN {p} = 0 THEN 1.0 ELSE 0.0 END ELSE 1.25*{t}/({p}+0.25*n_true) END"
 _NO = "CAST(split_part({}, '-', 2) AS BIGINT)"
+_LOST = q.SQL["infer_state"].replace("JOIN al USING", "JOIN (SELECT * FROM al WHERE state <> 'state a') al USING")
+_RARE = q._WEIGHTS.replace("n < 1000 OR df <= 0.05*n", f"df <= {blocking.LOST_MOST_DF}")
 _DIFFER = "hn_eq < 0.5 AND hn_missing_rec < 0.5"
 SQL = {
     "fold_assignment": f"""WITH {q.ENTS}, e AS (SELECT entity_id, country FROM ents), r AS (SELECT s.entity_id, e.country, s.state FROM ({q.SQL['s1_state']}) s JOIN e USING (entity_id)),
@@ -103,6 +111,10 @@ w AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY country ORDER BY md5('42|'||c
 SELECT country, state, n FROM w WHERE before < 0.15*total""",
     "mapped_names": f"""WITH {q.ENTS}, w AS (SELECT entity_id, list_transform(string_split({q.CLEAN.format('business_name')}, ' '), lambda t: CASE t WHEN 'goldenrod' THEN 'golden' WHEN 'steel' THEN 'stahl' WHEN 'the' THEN 'of' WHEN 'dark' THEN 'inc' ELSE t END) AS w FROM ents)
 SELECT entity_id, array_to_string(list_filter(w, lambda t: t <> '' AND NOT list_contains({NOISE}, t)), ' ') AS mapped FROM w""",
+    "country_candidates": f"""WITH {q.NORM}, {_RARE}, lost AS (SELECT entity_id AS rec FROM ({_LOST}) WHERE state IS NULL),
+c AS (SELECT s1, rec, sum(ca*cb) AS cos FROM a JOIN (SELECT * FROM b SEMI JOIN lost USING (rec)) b USING (country, view, term) WHERE view = 'name' AND ca IS NOT NULL AND cb IS NOT NULL GROUP BY s1, rec),
+chosen AS (SELECT s1, rec FROM c WHERE cos > 1e-6 QUALIFY row_number() OVER (PARTITION BY rec ORDER BY round(cos, 9) DESC, s1) <= {blocking.LOST_KEEP}),
+f AS (SELECT s1, rec, {q._COS.format('wa*wb')} FROM chosen JOIN a USING (s1) JOIN b USING (rec, country, view, term) GROUP BY s1, rec) SELECT s1, rec, round(cos_name, 6) AS cos_name, round(cos_addr, 6) AS cos_addr, round(0.6*cos_name+0.4*cos_addr, 6) AS cos_comb FROM f""",
     "key_recall": f"""WITH {q.NORM}, {q.KEYS}, t AS (SELECT DISTINCT s1, rec FROM ({q.SQL['rule_matches']})), a AS (SELECT entity_id, kind, key FROM (SELECT *, count(*) OVER (PARTITION BY kind, key) AS n FROM k WHERE starts_with(entity_id, 'S1-')) WHERE n <= 20),
 m AS (SELECT DISTINCT a.kind, a.entity_id AS s1, b.entity_id AS rec FROM a JOIN k b USING (kind, key) WHERE NOT starts_with(b.entity_id, 'S1-')), every AS (SELECT * FROM m UNION ALL SELECT DISTINCT 'any', s1, rec FROM m)
 SELECT kind, count(*) AS pairs, count(t.s1) AS hits, round(count(t.s1)/(SELECT count(*) FROM t), 6) AS recall FROM every LEFT JOIN t USING (s1, rec) GROUP BY kind""",
