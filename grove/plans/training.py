@@ -6,10 +6,11 @@ import json
 import math
 from dataclasses import dataclass, field
 from functools import reduce
+from statistics import NormalDist
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier, RandomForestClassifier
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,11 +18,14 @@ from pyspark.sql import functions as F
 from grove.functions.text import normalize
 from grove.operators import blocking, collective, decisions
 from grove.operators.store import written
+from grove.plans import ensemble, explain
 from grove.plans import resolve as plan
 
 SEED = 42
 #: Members of the second stage. MLlib has no extremely randomised trees; a random forest stands for them.
 MEMBERS = ("boosted", "forest", "net")
+#: Shares at which a feature's quantiles are taken for normal scores, closer towards the tails, and the tails' own share.
+SHARES, TAIL = sorted({0.0, 0.001, 0.005, 0.01, 0.025, *(k / 20 for k in range(1, 20)), 0.975, 0.99, 0.995, 0.999, 1.0}), 1e-7
 
 
 def fold_of(regions: DataFrame, k: int = 2, seed: int = SEED) -> DataFrame:
@@ -52,12 +56,30 @@ def _numbers(df: DataFrame, cols: list[str], *others: str) -> DataFrame:
     return df.select(*others, *[F.coalesce(F.col(c).cast("double"), F.lit(plan.MISSING)).alias(c) for c in cols])
 
 
+def normal_scores(df: DataFrame, cols: list[str]) -> SQLTransformer:
+    """Adds normal_<c> for every column: its normal score among the values of df, linear between quantiles of one approximate
+    pass. Values that fill several quantiles get the middle of their scores, values beyond the ends the end's score."""
+    z = [NormalDist().inv_cdf(min(max(u, TAIL), 1 - TAIL)) for u in SHARES]
+    scores, last = f"array({', '.join(f'{x!r}D' for x in z)})", len(z) - 1
+    parts = []
+    for c, found in zip(cols, df.approxQuantile(cols, SHARES, 0.0005)):
+        points = f"array({', '.join(f'{x!r}D' for x in found or [0.0] * len(z))})"
+        below, upto = f"size(filter({points}, x -> x < `{c}`))", f"size(filter({points}, x -> x <= `{c}`))"
+        tied = f"(get({scores}, {below}) + get({scores}, {upto} - 1)) / 2"
+        between = f"get({scores}, {below} - 1) + (get({scores}, {below}) - get({scores}, {below} - 1)) * (`{c}` - get({points}, {below} - 1)) / (get({points}, {below}) - get({points}, {below} - 1))"
+        parts.append(f"CASE WHEN {upto} > {below} THEN {tied} WHEN {below} = 0 THEN {z[0]!r}D WHEN {below} > {last} THEN {z[-1]!r}D ELSE {between} END AS `normal_{c}`")
+    return SQLTransformer(statement=f"SELECT *, {', '.join(parts)} FROM __THIS__")
+
+
 def fit_member(df: DataFrame, cols: list[str], member: str = "boosted", trees: int = 20, seed: int = SEED) -> PipelineModel | None:
     """A classifier of y; None where df holds one class alone."""
     if df.select("y").distinct().count() < 2:
         return None
-    stages = [VectorAssembler(inputCols=cols, outputCol="features"), *classifier(member, len(cols), trees, seed)]
-    return Pipeline(stages=stages).fit(_numbers(df, cols, "y").withColumn("y", F.col("y").cast("double")))
+    filled, inputs, first = _numbers(df, cols, "y").withColumn("y", F.col("y").cast("double")), cols, []
+    if member == "net":
+        first, inputs = [normal_scores(filled, cols)], [f"normal_{c}" for c in cols]
+    stages = [*first, VectorAssembler(inputCols=inputs, outputCol="features"), *classifier(member, len(cols), trees, seed)]
+    return Pipeline(stages=stages).fit(filled)
 
 
 def score(model: PipelineModel | None, df: DataFrame, cols: list[str], name: str) -> DataFrame:
@@ -73,9 +95,11 @@ def out_of_fold(df: DataFrame, cols: list[str], k: int, name: str, member: str =
     return reduce(DataFrame.unionByName, each)
 
 
-def mean_of(scored: dict[str, DataFrame]) -> DataFrame:
-    """s1, rec, p: the plain mean of the members' p."""
-    return reduce(DataFrame.unionByName, scored.values()).groupBy("s1", "rec").agg(F.avg("p").alias("p"))
+def mean_of(scored: dict[str, DataFrame], weights: dict[str, float] | None = None) -> DataFrame:
+    """s1, rec, p: the plain mean of the members' p, or their mean under weights."""
+    of = lambda m: F.lit(1.0 if weights is None else weights[m])
+    every = reduce(DataFrame.unionByName, [d.select("s1", "rec", "p", of(m).alias("w")) for m, d in scored.items()])
+    return every.groupBy("s1", "rec").agg((F.sum(F.col("p") * F.col("w")) / F.sum("w")).alias("p"))
 
 
 @dataclass
@@ -92,7 +116,11 @@ class Matcher:
         return score(self.stage1, featured, self.cols1, "p1")
 
     def p2(self, featured: DataFrame) -> DataFrame:
-        return mean_of({name: score(m, featured, self.cols2, "p") for name, m in self.stage2.items()})
+        return mean_of({name: score(m, featured, self.cols2, "p") for name, m in self.stage2.items()}, self.meta.get("weights"))
+
+    def explain(self, featured: DataFrame, top: int = explain.TOP) -> DataFrame:
+        """s1, rec, base, families, reasons of pairs with second-stage features, under the boosted member."""
+        return explain.explained(self.stage2["boosted"], featured, self.cols2, top)
 
     def save(self, path: str) -> None:
         """The models and meta below path, on any file system that Spark writes to."""
@@ -152,10 +180,11 @@ class Trained:
     matches: DataFrame
 
 
-def train(s1: DataFrame, recs: DataFrame, truth: DataFrame, k: int = 2, trees: int = 20, members: tuple[str, ...] = MEMBERS, more: bool = False, **how) -> Trained:
+def train(s1: DataFrame, recs: DataFrame, truth: DataFrame, k: int = 2, trees: int = 20, members: tuple[str, ...] = MEMBERS, more: bool = False, blends: tuple[str, ...] = (), **how) -> Trained:
     """Both stages fitted on all pairs, and judged on scores out of fold.
 
-    s1, recs: raw tables; truth: s1, rec. The second stage learns from first-stage scores out of fold, in the same folds.
+    s1, recs: raw tables; truth: s1, rec. blends: further ways of ensemble.cross_fitted to judge; with "weights" among them
+    the matcher weighs its members so. The second stage learns from first-stage scores out of fold, in the same folds.
     """
     spark = s1.sparkSession
     json.dumps(how)  # What the matcher is saved with must be text.
@@ -180,6 +209,12 @@ def train(s1: DataFrame, recs: DataFrame, truth: DataFrame, k: int = 2, trees: i
     judge = lambda pred: _numbers_of(decisions.summary(decisions.per_entity(pred, truth, ids)))
     steps = {"exact keys": rule, f"fuzzy score at {t:.3f}": alone.where(F.col("p") >= t), "stage 1 at 0.5": decisions.exclusive(first).where("p >= 0.5"), "stage 1, expected F": decisions.decode(first)}
     steps |= {f"stage 2, {m}": decisions.decode(p) for m, p in each.items()} | {"stage 2, mean": matches}
+    meta = {"more": more, "how": how}
+    if blends:
+        side = written(ensemble.side_by_side(each, two))
+        steps |= {f"stage 2, {way}": decisions.decode(written(ensemble.cross_fitted(side, list(members), k, way))) for way in blends}
+        if "weights" in blends:
+            meta["weights"] = ensemble.fit_weights(side, list(members))
     ladder = [{"step": name, **judge(pred)} for name, pred in steps.items()]
     stage1 = fit_member(all_, cols1, "boosted", trees)
     if stage1 is None:
@@ -190,13 +225,13 @@ def train(s1: DataFrame, recs: DataFrame, truth: DataFrame, k: int = 2, trees: i
     report = {
         "protocol": {"folds": k, "regions": regions.where("state is not null").select("country", "state").distinct().count()},
         "blocking": _numbers_of(decisions.candidate_metrics(ready.featured, truth, ids, ready.recs.count())),
-        "ladder": ladder, "final": ladder[-1],
+        "ladder": ladder, "final": (final := next(r for r in ladder if r["step"] == "stage 2, mean")),
         "folds": [r.asDict() for r in by_fold.orderBy("fold").collect()],
         "countries": [r.asDict() for r in decisions.slices(matches, truth, ids, country).orderBy("country").collect()],
         "threshold_curve": [r.asDict() for r in decisions.threshold_curve(spark, decisions.exclusive(oof), truth, ids, [round(0.05 * i, 2) for i in range(1, 20)]).orderBy("t").collect()],
         "importance": importance(stage1, cols1),
     }
-    return Trained(Matcher(stage1, cols1, stage2, cols2, {"oof_f05": ladder[-1]["f05"], "more": more, "how": how}), report, oof, matches)
+    return Trained(Matcher(stage1, cols1, stage2, cols2, {"oof_f05": final["f05"], **meta}), report, oof, matches)
 
 
 @dataclass

@@ -91,6 +91,26 @@ def test_weights_and_stack(spark):
     assert side.columns == ["s1", "rec", "y", "fold", *members] and side.count() == 1200
 
 
+def test_normal_scores(spark):
+    rng = random.Random(3)
+    df = spark.createDataFrame([(math.exp(rng.gauss(0, 1)), -1.0 if rng.random() < 0.5 else 1.0, 4.0) for _ in range(4000)], "a double, `b` double, same double")
+    got = training.normal_scores(df, ["a", "b", "same"]).transform(df).toPandas()
+    inner = got[(got.a > got.a.quantile(0.01)) & (got.a < got.a.quantile(0.99))]
+    assert np.abs(inner.normal_a - np.log(inner.a)).max() < 0.25
+    assert np.array_equal(got.a.rank().to_numpy(), got.normal_a.rank().to_numpy())
+    assert got.normal_same.abs().max() < 1e-9 and (got.groupby("b").normal_b.nunique() == 1).all() and got.normal_b.min() < 0 < got.normal_b.max()
+    beyond = training.normal_scores(df, ["a"]).transform(spark.createDataFrame([(-5.0,), (1e9,)], "a double")).toPandas().normal_a
+    assert beyond[0] < -5 and beyond[1] > 5
+
+
+def test_net_learns_from_normal_scores(pairs, tmp_path):
+    net = training.fit_member(pairs, COLS, "net")
+    net.write().overwrite().save(str(tmp_path / "net"))
+    again = type(net).load(str(tmp_path / "net"))
+    p = training.score(net, pairs, COLS, "p").join(training.score(again, pairs, COLS, "q"), ["s1", "rec"]).join(pairs, ["s1", "rec"])
+    assert p.where("p <> q").isEmpty() and p.where("(p >= 0.5) = (y = 1)").count() > 400
+
+
 def test_feature_sets():
     assert collective.feature_set("all") == collective.COLLECTIVE
     assert not set(collective.TWINS) & set(collective.feature_set("no_twins")) and "claims_s1" not in collective.feature_set("no_counts")

@@ -20,7 +20,7 @@ def world(spark):
 
 @pytest.fixture(scope="module")
 def trained(world):
-    return training.train(world.s1, world.recs, world.truth, trees=3, members=("boosted", "forest"), min_count=2, expand_count=5)
+    return training.train(world.s1, world.recs, world.truth, trees=3, members=("boosted", "forest"), blends=("weights",), min_count=2, expand_count=5)
 
 
 def test_world(spark, world):
@@ -45,6 +45,7 @@ def test_training_orders_the_steps(trained):
     ladder = {r["step"].split(" at ")[0]: r["f05"] for r in trained.report["ladder"]}
     assert ladder["exact keys"] < ladder["stage 1, expected F"] and trained.report["final"]["f05"] > 0.9
     assert trained.report["blocking"]["recall"] > 0.95 and abs(sum(r["gain"] for r in trained.report["importance"]) - 1) < 1e-6
+    assert abs(sum(trained.matcher.meta["weights"].values()) - 1) < 1e-9 and "stage 2, weights" in ladder
     assert trained.oof.count() == trained.oof.select("s1", "rec").distinct().count()
 
 
