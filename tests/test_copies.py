@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+from grove.operators import blocking
 from grove.plans.registry import QUERIES, SQL
 
 
@@ -32,3 +33,25 @@ def test_key_recall_without_true_pairs(spark, copied):
     got = QUERIES["key_recall"](spark, copied).toPandas()
     assert len(got) and all(math.isnan(x) for x in got["recall"])
     assert rows(got) == rows(by_sql("key_recall", copied))
+
+
+def test_candidates_of_copies(spark, copied, monkeypatch):
+    """Twelve kinds of texts meet, however many copies each has; the rows stay those of the SQL."""
+    summed, met = blocking._summed, []
+    monkeypatch.setattr(blocking, "_summed", lambda d, keys: met.append(d.select(*keys).distinct().count()) or summed(d, keys))
+    got = rows(QUERIES["tfidf_candidates"](spark, copied).toPandas())
+    assert len(got) > 84 and got == rows(by_sql("tfidf_candidates", copied))
+    assert max(met) <= 12 * 12
+
+
+def test_kinds_keep_repeated_ids(spark):
+    """An id that stands in two parts, or twice in one, is one entity with all its rows, as in the weights of entities."""
+    name = "entity_id string, country string, name_tok string, addr string"
+    s1 = spark.createDataFrame([("a", "US", "harbor mill", "1 oak road"), ("a", "India", "harbor mill", "1 oak road"), ("b", "US", "harbor mill", "1 oak road"), ("c", "US", "harbor tea", ""), ("c", "US", "zinc", "2 elm road")], name)
+    recs = spark.createDataFrame([("r", "US", "harbor mill", "1 oak road"), ("r", "India", "harbor mill", "oak road"), ("t", "US", "zinc tea", "2 elm road"), ("u", None, "zinc", "")], name)
+    whole = {(r["s1"], r["rec"]): round(r["cos"], 6) for r in blocking.cosines(*blocking.tfidf(s1, recs, "name", ["country"]), ["country"]).collect()}
+    assert {(r["s1"], r["rec"]): r["cos"] for r in blocking.top_cosines(s1, recs, "name", ["country"], 9).collect()} == whole
+    every = [(a, r) for a in "abc" for r in "rtu"]
+    pairs = blocking.pair_cosines(spark.createDataFrame(every, "s1 string, rec string"), *blocking.weighted(s1, recs, ["country"])).where("cos_comb > 0")
+    combined = lambda d: {(r["s1"], r["rec"]): round(r["cos_comb"], 9) for r in d.collect()}
+    assert combined(blocking.retrieve(s1, recs, ["country"], keep=None)) == combined(pairs)
