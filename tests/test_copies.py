@@ -44,6 +44,14 @@ def test_candidates_of_copies(spark, copied, monkeypatch):
     assert max(met) <= 12 * 12
 
 
+def test_top_names_of_copies(spark, copied, monkeypatch):
+    tfidf, weighed = blocking.tfidf, []
+    monkeypatch.setattr(blocking, "tfidf", lambda *a, **k: [weighed.append(d.select("entity_id").distinct().count()) or d for d in tfidf(*a, **k)])
+    got = rows(QUERIES["tfidf_name_topk"](spark, copied).toPandas())
+    assert len(got) > 84 and got == rows(by_sql("tfidf_name_topk", copied))
+    assert len(weighed) == 2 and max(weighed) <= 12
+
+
 def test_kinds_keep_repeated_ids(spark):
     """An id that stands in two parts, or twice in one, is one entity with all its rows, as in the weights of entities."""
     name = "entity_id string, country string, name_tok string, addr string"
