@@ -5,7 +5,9 @@ import math
 import duckdb
 import pytest
 
+from grove.functions.text import normalize
 from grove.operators import blocking, collective
+from grove.plans import queries, resolve
 from grove.plans.registry import QUERIES, SQL
 
 
@@ -44,6 +46,15 @@ def test_candidates_of_copies(spark, copied, monkeypatch):
     assert max(met) <= 12 * 12
 
 
+def test_blocks_of_copies(spark, copied, monkeypatch):
+    """The retrieval of resolve meets kinds of texts within a region, not their copies."""
+    summed, met = blocking._summed, []
+    monkeypatch.setattr(blocking, "_summed", lambda d, keys: met.append(d.select(*keys).distinct().count()) or summed(d, keys))
+    e = normalize(queries.ents(spark, copied))
+    s1, recs = e.where("entity_id LIKE 'S1-%'"), e.where("entity_id NOT LIKE 'S1-%'")
+    assert resolve.block(s1, recs, min_count=2, expand_count=5).count() >= 84 * 5 and met and max(met) <= 180
+
+
 def test_top_names_of_copies(spark, copied, monkeypatch):
     tfidf, weighed = blocking.tfidf, []
     monkeypatch.setattr(blocking, "tfidf", lambda *a, **k: [weighed.append(d.select("entity_id").distinct().count()) or d for d in tfidf(*a, **k)])
