@@ -12,6 +12,9 @@ NAME = ["name_ratio", "name_tset", "name_partial", "name_jw", "ns_ratio", "addr_
 COMP = ["rev_is_best_cos", "rev_margin_cos", "rev_rel_cos", "rev_rel_name", "ctx_rel_cos", "ctx_gap_cos", "ctx_rel_name", "ctx_rel_addr", "ctx_is_best_cos"]
 DIFF = ["n_tok_extra", "n_tok_miss", "hn_delta", "hn_absdelta", "hn_substr"]
 GEN = ["n_extra_generic", "n_extra_rare", "n_miss_generic", "n_miss_rare", "core_eq", "core_tset"]
+CONTEXT = ["rank_fz", "rev_rank_fz", "gap_fz", "n_cand_rec", "n_cand_s1", "margin_fz"]
+#: The normalised columns that a pair's own features are made of.
+TEXTS = ["name_tok", "name_ns", "name_key", "addr", "hn", "nums", "nonlatin", "empty_addr"]
 GENERIC_SHARE = 0.001
 #: Reference names from which on a word is a real one, and words of a pair that are aligned. Fixed values.
 REAL_DF, ALIGNED = 2, 4
@@ -30,7 +33,12 @@ def sides(pairs: DataFrame, s1: DataFrame, recs: DataFrame, columns: list[str])
 
 def pair_features(pairs: DataFrame, s1: DataFrame, recs: DataFrame) -> DataFrame:
     """s1, rec and the pair's own features, with the ranks of its score among the record's and the entity's candidates."""
-    d = sides(pairs, s1, recs, ["name_tok", "name_ns", "name_key", "addr", "hn", "nums", "nonlatin", "empty_addr"])
+    return context_windows(pair_scores(pairs, s1, recs))
+
+
+def pair_scores(pairs: DataFrame, s1: DataFrame, recs: DataFrame) -> DataFrame:
+    """pairs with the similarities of their texts and fz, the score of name and address. But for src3, texts alone decide."""
+    d = sides(pairs, s1, recs, TEXTS)
     both = lambda f, c: f(F.col(f"{c}_1"), F.col(f"{c}_2"))
     shared, union = F.size(F.array_intersect("nums_1", "nums_2")), F.size(F.array_union("nums_1", "nums_2"))
     d = d.select(
@@ -43,35 +51,59 @@ def pair_features(pairs: DataFrame, s1: DataFrame, recs: DataFrame) -> DataFrame
         F.startswith("rec", F.lit("S3")).cast("double").alias("src3"), F.col("nonlatin_2").cast("double").alias("nonlatin"), F.col("empty_addr_2").cast("double").alias("empty_addr"),
         F.length("name_tok_2").cast("double").alias("len_name_rec"), F.length("name_tok_1").cast("double").alias("len_name_s1"),
     )
-    return context_windows(d.withColumn("fz", (0.6 * F.col("name_tset") + 0.4 * F.col("addr_tset")).cast("float").cast("double")))
+    return d.withColumn("fz", (0.6 * F.col("name_tset") + 0.4 * F.col("addr_tset")).cast("float").cast("double"))
 
 
 def context_windows(d: DataFrame) -> DataFrame:
     """Ranks, gaps and counts of fz among a record's and an entity's candidates; ties by s1, then rec."""
-    rec, s1 = Window.partitionBy("rec"), Window.partitionBy("s1")
-    d = d.withColumn("rank_fz", F.row_number().over(rec.orderBy(F.desc("fz"), "s1"))).withColumn("rev_rank_fz", F.row_number().over(s1.orderBy(F.desc("fz"), "rec")))
-    d = d.withColumn("gap_fz", F.max("fz").over(rec) - F.col("fz")).withColumn("n_cand_rec", F.count(F.lit(1)).over(rec)).withColumn("n_cand_s1", F.count(F.lit(1)).over(s1))
+    return context_by_entity(context_by_record(d)).select(*d.columns, *CONTEXT)
+
+
+def context_by_record(d: DataFrame) -> DataFrame:
+    rec = Window.partitionBy("rec")
+    d = d.withColumn("rank_fz", F.row_number().over(rec.orderBy(F.desc("fz"), "s1"))).withColumn("gap_fz", F.max("fz").over(rec) - F.col("fz")).withColumn("n_cand_rec", F.count(F.lit(1)).over(rec))
     second = F.max(F.when(F.col("rank_fz") == 2, F.col("fz"))).over(rec)
     return d.withColumn("margin_fz", F.coalesce(F.col("fz") - second, F.lit(100.0)))
 
 
+def context_by_entity(d: DataFrame) -> DataFrame:
+    s1 = Window.partitionBy("s1")
+    return d.withColumn("rev_rank_fz", F.row_number().over(s1.orderBy(F.desc("fz"), "rec"))).withColumn("n_cand_s1", F.count(F.lit(1)).over(s1))
+
+
 def competition_features(pairs: DataFrame) -> DataFrame:
     """pairs (s1, rec, cos_name, cos_addr, cos_comb) with how each compares to its rivals; missing cosines count as 0."""
-    rec, s1 = Window.partitionBy("rec"), Window.partitionBy("s1")
-    z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    floor = lambda x: F.greatest(x, F.lit(1e-6))
-    d = pairs.withColumn("_c", z("cos_comb")).withColumn("_n", z("cos_name")).withColumn("_a", z("cos_addr")).withColumn("_rn", F.row_number().over(rec.orderBy(F.desc("_c"), "s1")))
+    return competition_by_entity(competition_by_record(pairs)).select(*pairs.columns, *COMP)
+
+
+def _cosine(c: str) -> Column:
+    return F.coalesce(F.col(c), F.lit(0.0))
+
+
+def _least(x: Column) -> Column:
+    return F.greatest(x, F.lit(1e-6))
+
+
+def competition_by_record(pairs: DataFrame) -> DataFrame:
+    rec = Window.partitionBy("rec")
+    d = pairs.withColumn("_c", _cosine("cos_comb")).withColumn("_rn", F.row_number().over(rec.orderBy(F.desc("_c"), "s1")))
     best = F.max("_c").over(rec)
     second = F.coalesce(F.max(F.when(F.col("_rn") == 2, F.col("_c"))).over(rec), F.lit(0.0))
-    top = F.max("_c").over(s1)
     out = {
         "rev_is_best_cos": (F.col("_c") >= best).cast("int"), "rev_margin_cos": F.when(F.col("_c") >= best, F.col("_c") - second).otherwise(F.col("_c") - best),
-        "rev_rel_cos": F.col("_c") / floor(best), "rev_rel_name": F.col("_n") / floor(F.max("_n").over(rec)), "ctx_rel_cos": F.col("_c") / floor(top), "ctx_gap_cos": top - F.col("_c"),
-        "ctx_rel_name": F.col("_n") / floor(F.max("_n").over(s1)), "ctx_rel_addr": F.col("_a") / floor(F.max("_a").over(s1)), "ctx_is_best_cos": (F.col("_c") >= top).cast("int"),
+        "rev_rel_cos": F.col("_c") / _least(best), "rev_rel_name": _cosine("cos_name") / _least(F.max(_cosine("cos_name")).over(rec)),
     }
     return d.select(*pairs.columns, *[v.alias(k) for k, v in out.items()])
 
 
+def competition_by_entity(pairs: DataFrame) -> DataFrame:
+    s1, c = Window.partitionBy("s1"), _cosine("cos_comb")
+    top = F.max(c).over(s1)
+    of_best = lambda x: _cosine(x) / _least(F.max(_cosine(x)).over(s1))
+    out = {"ctx_rel_cos": c / _least(top), "ctx_gap_cos": top - c, "ctx_rel_name": of_best("cos_name"), "ctx_rel_addr": of_best("cos_addr"), "ctx_is_best_cos": (c >= top).cast("int")}
+    return pairs.select(*pairs.columns, *[v.alias(k) for k, v in out.items()])
+
+
 def maxima(pairs: DataFrame) -> DataFrame:
     """s1, s_best, s_best_n, s_best_a: the highest cosines of each entity's pairs; missing ones count as 0."""
     top = lambda c, name: F.max(F.coalesce(F.col(c), F.lit(0.0))).alias(name)

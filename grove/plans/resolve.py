@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grove.functions import address, text
@@ -38,10 +36,20 @@ def block(s1: DataFrame, recs: DataFrame, codes: DataFrame | None = None, min_co
 
 
 def featurize(pairs: DataFrame, s1: DataFrame, recs: DataFrame) -> DataFrame:
-    d = feats.competition_features(pairs)
-    d = feats.diff_features(d, s1, recs)
-    d = feats.generic_features(d, s1, recs, feats.generic_tokens(s1))
-    return feats.pair_features(d, s1, recs)
+    """pairs (once each, written) with competition, differences, generic words, similarities and ranks.
+
+    What texts alone decide is found once for each pair of kinds of texts. Rows travel by record and by entity with their
+    cosines, kinds and one score, and meet the features of their kinds last."""
+    (ours, a), (theirs, b) = (blocking.text_classes(d, ["country"], feats.TEXTS) for d in (s1, recs))
+    named = lambda d, of, kind: d.select(F.col("entity_id").alias(of), F.col("kind").alias(kind))
+    known = written(pairs.join(named(theirs, "rec", "_k2"), "rec").join(named(ours, "s1", "_k1"), "s1").select(*pairs.columns, "_k1", "_k2"))
+    texts = written(known.select(F.col("_k1").alias("s1"), F.col("_k2").alias("rec")).distinct())
+    own = feats.generic_features(feats.diff_features(texts, a, b), a, b, feats.generic_tokens(s1))
+    own = written(feats.pair_scores(own, a, b).withColumnsRenamed({"s1": "_k1", "rec": "_k2"}))
+    d = feats.context_by_record(feats.competition_by_record(known.join(own.select("_k1", "_k2", "fz"), ["_k1", "_k2"])))
+    d = written(feats.context_by_entity(feats.competition_by_entity(d)).drop("fz"))
+    d = d.join(own.drop("src3"), ["_k1", "_k2"]).withColumn("src3", F.startswith("rec", F.lit("S3")).cast("double"))
+    return d.select(*pairs.columns, *feats.COMP, *own.columns[2:], *feats.CONTEXT)
 
 
 def featurize_more(featured: DataFrame, s1: DataFrame, recs: DataFrame, raw1: DataFrame, raw2: DataFrame) -> DataFrame:
@@ -57,17 +65,20 @@ def columns(df: DataFrame) -> list[str]:
     return [c for c, t in df.dtypes if c not in ("s1", "rec", "y", "p1", "p") and t not in ("string",)]
 
 
-def fit(df: DataFrame, cols: list[str], trees: int = 20, seed: int = 42) -> PipelineModel:
+def vector(cols: list[str]) -> Column:
+    """cols as a vector of numbers; missing ones are MISSING."""
+    return array_to_vector(F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(MISSING)) for c in cols]))
+
+
+def fit(df: DataFrame, cols: list[str], trees: int = 20, seed: int = 42) -> GBTClassificationModel:
     """A boosted-tree classifier of y; missing features are MISSING."""
-    d = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(MISSING)).alias(c) for c in cols], F.col("y").cast("double"))
-    return Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="features"), GBTClassifier(labelCol="y", maxIter=trees, maxDepth=5, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8", minInstancesPerNode=5, seed=seed)]).fit(d)
+    d = df.select(vector(cols).alias("features"), F.col("y").cast("double"))
+    return GBTClassifier(labelCol="y", maxIter=trees, maxDepth=5, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8", minInstancesPerNode=5, seed=seed).fit(d)
 
 
-def predict(model: PipelineModel, df: DataFrame, cols: list[str], name: str) -> DataFrame:
-    keys = [c for c in ("s1", "rec") if c in df.columns]
-    d = df.select(*keys, *[F.coalesce(F.col(c).cast("double"), F.lit(MISSING)).alias(c) for c in cols])
-    scored = model.transform(d).select(*keys, vector_to_array("probability")[1].alias(name))
-    return df.join(scored, keys)
+def predict(model: GBTClassificationModel, df: DataFrame, cols: list[str], name: str) -> DataFrame:
+    """df with the model's probability; the rows stay where they are."""
+    return model.transform(df.withColumn("features", vector(cols))).select(*df.columns, vector_to_array("probability")[1].alias(name))
 
 
 def fuzzy_matches(featured: DataFrame, t: float = 75.0) -> DataFrame:
@@ -78,7 +89,8 @@ def fuzzy_matches(featured: DataFrame, t: float = 75.0) -> DataFrame:
 def resolve(s1: DataFrame, recs: DataFrame, truth: DataFrame, **how) -> DataFrame:
     """s1, rec, p: matches of raw tables, by two stages trained on the known pairs of truth (s1, rec)."""
     a, b = written(normalize(s1)), written(normalize(recs))
-    featured = written(featurize(block(a, b, **how), a, b).join(truth.select("s1", "rec", F.lit(1).alias("y")), ["s1", "rec"], "left").fillna(0, ["y"]))
+    known = truth.select("s1", "rec", F.lit(1).alias("y"))
+    featured = written(featurize(written(block(a, b, **how).join(known, ["s1", "rec"], "left").fillna(0, ["y"])), a, b))
     cols = columns(featured)
     one = written(predict(fit(featured, cols), featured, cols, "p1").where(F.col("p1") >= PRUNE))
     more = collective.collective(one, collective.components(collective.twin_edges(b)))
